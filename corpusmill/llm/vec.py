@@ -104,7 +104,7 @@ def pieces(offsets: np.ndarray, size: int | None = None) -> Iterator[tuple[int,
         a = min(b, n)
 
 
-def _long_words(data: np.ndarray, lower: bool) -> np.ndarray:
+def _long_words(data: np.ndarray) -> np.ndarray:
     """Word hashes of one long document, piece by piece, cut where white space is."""
     found, at, n = [], 0, len(data)
     while at < n:
@@ -112,24 +112,27 @@ def _long_words(data: np.ndarray, lower: bool) -> np.ndarray:
         while end < n and not SPACE[data[end]]:  # a word never falls apart
             ahead = np.flatnonzero(SPACE[data[end : end + PIECE]])
             end = end + int(ahead[0]) if len(ahead) else min(n, end + PIECE)
-        part = LOWER[data[at:end]] if lower else data[at:end]
+        part = data[at:end]
         starts, ends = word_spans(part, np.zeros(0, np.int64))
         found.append(span_hashes(part, starts, ends))
         at = end
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
-def document_words(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Yield (index of the first document, word offsets of the documents, word hashes) per piece."""
+def document_words(column: pa.Array, lower: bool = False, table: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Yield (index of the first document, word offsets of the documents, word hashes) per piece.
+
+    ``table`` maps bytes before words are cut; ``lower`` is short for A-Z to a-z."""
+    table = LOWER if lower else table
     offsets, data = text_buffers(column)
     for a, b in pieces(offsets):
         part, starts_at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        if table is not None:
+            part = table[part]
         if len(part) > 2 * PIECE:
-            words = _long_words(part, lower)
+            words = _long_words(part)
             yield a, np.array([0, len(words)]), words
             continue
-        if lower:
-            part = LOWER[part]
         starts, ends = word_spans(part, starts_at[:-1])
         yield a, np.searchsorted(starts, starts_at), span_hashes(part, starts, ends)
 

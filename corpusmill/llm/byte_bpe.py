@@ -146,11 +146,13 @@ def decode(docs: DataFrame, ids: str = "ids", text: str = "text", path: str | No
     return _mapped(docs, ids, [T.StructField(text, T.StringType())], rows)
 
 
+TOKENS = T.StructField("ids", T.ArrayType(T.IntegerType()))
 DIGEST = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
 
 
-def digest(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
-    """``docs`` with the number of tokens, the digest of the ids and the digest of the decoded bytes."""
+def digest(docs: DataFrame, text: str = "text", path: str | None = None, with_ids: bool = False) -> DataFrame:
+    """``docs`` with the number of tokens, the digest of the ids, the digest of the decoded bytes, and if asked
+    the ids."""
     path = path or default_path()
 
     def rows(column: pa.Array) -> list[tuple]:
@@ -158,10 +160,10 @@ def digest(docs: DataFrame, text: str = "text", path: str | None = None) -> Data
         for t in column:
             ids = tree.encode(t.as_py() or "")
             listed = ",".join([tree.decimal[i] for i in ids])
-            out.append((len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(tree.decode(ids)).hexdigest()))
+            out.append((len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(tree.decode(ids)).hexdigest(), *([ids] * with_ids)))
         return out
 
-    return _mapped(docs, text, DIGEST, rows)
+    return _mapped(docs, text, [*DIGEST, *([TOKENS] * with_ids)], rows)
 
 
 def op3_byte_level_bpe(spark, sf_dir: str) -> DataFrame:

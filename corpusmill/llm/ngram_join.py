@@ -98,8 +98,8 @@ def _signed(k: int, num: int, den: int, keys: np.ndarray, counts: np.ndarray):
                 two.append(b)
                 prefix.append(ordered[: size - -(-num * size // den) + 1].view(np.int64) if size else np.zeros(0, np.int64))
                 cells.append(np.bincount((held >> np.uint64(59)).astype(np.int64), minlength=CELLS).astype(np.int32))
-            arrays = [batch.column("id"), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(cells, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["id", "n", "k1", "k2", "prefix", "cells"])
+            arrays = [batch.column("id"), batch.column("hash"), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(cells, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "hash", "n", "k1", "k2", "prefix", "cells"])
 
     return run
 
@@ -144,16 +144,22 @@ def _verified(pairs: DataFrame, cells: DataFrame, sets: DataFrame, num: int, den
 
 
 def classes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(rows: id, n, k1, k2; classes with the smallest id, prefix and counts), both written."""
-    rows = written(docs.mapInArrow(_signed(k, num, den, *frequent(docs, k)), "id long, n long, k1 long, k2 long, prefix array<long>, cells array<int>"), "ngram-rows")
+    """(rows: id, hash, n, k1, k2; classes with the smallest id, prefix and counts), both written."""
+    rows = written(docs.mapInArrow(_signed(k, num, den, *frequent(docs, k)), "id long, hash long, n long, k1 long, k2 long, prefix array<long>, cells array<int>"), "ngram-rows")
     one = rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("id"), F.first("prefix").alias("prefix"), F.first("cells").alias("cells"))
-    return rows.select("id", "n", "k1", "k2"), written(one.withColumn("cls", F.monotonically_increasing_id()), "ngram-classes")
+    return rows.select("id", "hash", "n", "k1", "k2"), written(one.withColumn("cls", F.monotonically_increasing_id()), "ngram-classes")
+
+
+def _hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def linked(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id (the smallest id reachable by links of
-    Jaccard ``num / den`` or more between sets of ``k``-word shingles)."""
-    docs = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    """One row per row of ``docs``: id, hash (of the text), n_shingles, component_id (the smallest id reachable
+    by links of Jaccard ``num / den`` or more between sets of ``k``-word shingles) and label (a number for
+    each component, null without shingles)."""
+    text, key = F.col(f"`{text}`"), F.col(f"`{key}`")
+    docs = docs.select(key.cast("long").alias("id"), _hash(text).alias("hash"), text.cast("string").alias("text"))
     rows, known = classes(docs, k, num, den)
     postings = known.select("cls", "n", F.posexplode("prefix").alias("pos", "shingle"))
     # the shorter set of a pair holds the shared shingle early; a shingle without such a place makes no pair
@@ -195,15 +201,21 @@ def linked(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5,
 
     named = known.join(labels, known["cls"] == labels["node"], "left").select("k1", "k2", known["n"], "id", F.coalesce("label", "cls").alias("label"))
     least = named.groupBy("label").agg(F.min("id").alias("component_id"))
-    named = named.join(least, "label").select("k1", "k2", "n", "component_id")
+    named = named.join(least, "label").select("k1", "k2", "n", "label", "component_id")
     same = reduce(lambda a, b: a & b, [F.col(f"r.{c}") == F.col(f"c.{c}") for c in ("k1", "k2", "n")])
-    return rows.alias("r").join(named.alias("c"), same, "left").select("r.id", F.col("r.n").alias("n_shingles"), F.coalesce("component_id", "r.id").alias("component_id"))
+    return rows.alias("r").join(named.alias("c"), same, "left").select("r.id", "r.hash", F.col("r.n").alias("n_shingles"), F.coalesce("component_id", "r.id").alias("component_id"), "label")
 
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with one row of each component: that with the smallest id (the first of equal rows)."""
-    kept = linked(docs, text, key, k, num, den).where("component_id is null or id = component_id").select(F.col("id").alias("_id")).distinct()
-    return docs.join(kept, F.col(f"`{key}`").cast("long").eqNullSafe(F.col("_id"))).drop("_id").dropDuplicates([key])
+    """``docs`` with one row of each component: that with the smallest id (nulls last).
+
+    Rows without shingles stay; rows equal in id and text stay once."""
+    rows = written(linked(docs, text, key, k, num, den), "ngram-linked")
+    first = rows.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("m")).select("m.id", "m.hash")
+    kept = first.unionByName(rows.where("label is null").select("id", "hash")).select(F.col("id").alias("_id"), F.col("hash").alias("_hash"))
+    keyed = docs.withColumns({"_key": F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-(1 << 63))), "_text": _hash(F.col(f"`{text}`"))})
+    stay = (F.col("_key") == F.coalesce("_id", F.lit(-(1 << 63)))) & (F.col("_text") == F.col("_hash"))
+    return keyed.join(kept, stay, "left_semi").dropDuplicates(["_key", "_text"]).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

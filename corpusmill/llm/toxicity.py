@@ -7,7 +7,8 @@ learns from probabilities as honest as those it will see.  The labels table hold
 
 A text's features are the presence of its words (A-Z lower-cased), of their first 3 to 6 characters and of their
 last two bytes; a category's model uses those that mark it: features in at least ``MIN_DOCS`` labelled rows
-of the category that are ``MIN_LIFT`` times as frequent there as elsewhere, ``MAX_FEATURES`` at most, the
+of the category that are ``MIN_LIFT`` times as frequent there as elsewhere and by chance
+only with a probability of exp(-``SURPRISE``), ``MAX_FEATURES`` at most, the
 most frequent first.  So a long clean text has nothing to add up.
 
 The models are fitted on the driver from a sample of about ``MAX_LABELLED`` labelled rows (by hash of the id;
@@ -32,7 +33,7 @@ from pyspark.sql import types as T
 from corpusmill.llm import vec
 from corpusmill.llm.store import written
 
-MAX_LABELLED, FOLDS, MIN_DOCS, MIN_LIFT, MAX_FEATURES = 20_000, 5, 4, 6.0, 4096
+MAX_LABELLED, FOLDS, MIN_DOCS, MIN_LIFT, SURPRISE, MAX_FEATURES = 12_000, 5, 4, 6.0, 9.0, 4096
 HEADS, TAIL = (3, 4, 5, 6), 2
 
 
@@ -67,24 +68,19 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def _counted(n_labels: int):
-    """(feature, rows with it, rows with it of each category), one row per feature and batch."""
+    """(feature, rows with it, rows with it of each category), one row per feature and piece of about 1 MB."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels = np.array([batch.column(f"y{i}").to_numpy(zero_copy_only=False) for i in range(n_labels)], np.int64)
-            docs, found = [], []
-            for a, part, at in _texts(batch.column("text")):
-                doc, families = word_features(part, at)
-                for f in families:
-                    docs.append(doc + a)
-                    found.append(f)
-            if found:
-                pairs = np.unique(np.rec.fromarrays([np.concatenate(found), np.concatenate(docs)], names="f,d"))
-                keys, place = np.unique(pairs.f, return_inverse=True)
-                sums = [np.bincount(place, minlength=len(keys)), *(np.bincount(place, y[pairs.d], len(keys)) for y in labels)]
-            else:
-                keys, sums = np.zeros(0, np.uint64), [np.zeros(0)] * (n_labels + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(s.astype(np.int64)) for s in sums)], names=["f", "n", *(f"n{i}" for i in range(n_labels))])
+            offsets, data = vec.text_buffers(batch.column("text"))
+            for a, b in vec.pieces(offsets):
+                doc, families = word_features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                found, docs = np.concatenate(families), np.tile(doc, len(families))
+                _, once = np.unique(vec.mix(found + docs.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)), return_index=True)
+                keys, place = np.unique(found[once], return_inverse=True)
+                sums = [np.bincount(place, minlength=len(keys)), *(np.bincount(place, y[docs[once] + a], len(keys)) for y in labels)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(s.astype(np.int64)) for s in sums)], names=["f", "n", *(f"n{i}" for i in range(n_labels))])
 
     return run
 
@@ -169,7 +165,9 @@ class Chain:
         for i in range(len(names)):
             inside, outside = max(1, sums[f"y{i}"] or 0), max(1, sums["n"] - (sums[f"y{i}"] or 0))
             lift = (F.col(f"n{i}") / inside) / ((F.col("n") - F.col(f"n{i}") + 0.5) / outside)
-            top = counts.where((F.col(f"n{i}") >= MIN_DOCS) & (lift >= MIN_LIFT)).orderBy(F.desc(f"n{i}"), "f").limit(MAX_FEATURES).select("f").toArrow()
+            base, share = inside / max(inside + 1, sums["n"]), F.col(f"n{i}") / F.col("n")
+            surprise = F.col("n") * (share * F.log(share / base) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0))
+            top = counts.where((F.col(f"n{i}") >= MIN_DOCS) & (lift >= MIN_LIFT) & (surprise >= SURPRISE)).orderBy(F.desc(f"n{i}"), "f").limit(MAX_FEATURES).select("f").toArrow()
             chosen.append(np.sort(top["f"].to_numpy().view(np.uint64)) if len(top) else np.zeros(0, np.uint64))
         every = np.unique(np.concatenate(chosen))
         sample = rows.mapInArrow(_sampled(every, len(names)), "id long, has array<int>, " + ", ".join(f"y{i} int" for i in range(len(names)))).orderBy("id").toArrow()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -49,11 +50,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
 
 
-def dropped(spark: SparkSession, *frames: DataFrame) -> None:
-    """Remove tables made by ``written`` that no later step reads."""
+def dropped(*frames: DataFrame) -> None:
+    """Remove tables made by ``written`` that no later step reads, and let go of the shuffles behind them.
+
+    Spark keeps shuffle files until the driver's garbage is collected, so a long chain of steps would pile
+    them up on the executors' disks."""
     for df in frames:
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            _remove(spark, path)
+        if (path := getattr(df, "written_to", None)) and (df.sparkSession, path) in _written:
+            _written.remove((df.sparkSession, path))
+            _remove(df.sparkSession, path)
+    gc.collect()
+    if frames:
+        frames[0].sparkSession.sparkContext._jvm.System.gc()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusmill import packs
 from corpusmill.functions.text import filled, hits, normal, role_text, string_list, strip
 from corpusmill.operators.kb import doc_reference
+from corpusmill.operators.split import shuffled
 
 
 def normal_item(df: DataFrame) -> DataFrame:
@@ -84,3 +85,20 @@ def masked_labels(prompt_ids: Column, answer_ids: Column, most: int) -> Column:
     ids = F.slice(F.concat(prompt_ids, answer_ids), 1, most)
     labels = F.slice(F.concat(F.array_repeat(F.lit(-100), F.size(prompt_ids)), answer_ids), 1, most)
     return F.struct(ids.alias("input_ids"), labels.alias("labels"))
+
+
+def source_mix(samples: DataFrame, evaluation: DataFrame, total: int, share: float = 0.7, seed: int = 42) -> DataFrame:
+    """``total`` sources (column source_id): ``share`` of them from samples, the rest from evaluation items, in
+    shuffled order; where one side has too few, all are gone round again."""
+    first = int(total * share)
+    take = lambda df, n: df.orderBy(shuffled(seed, F.col("source_id")), "source_id").limit(n)
+    mixed = take(samples, first).unionByName(take(evaluation, total - first)).withColumn("turn", F.lit(0))
+    short = total - mixed.count()
+    if short <= 0:
+        return mixed.drop("turn")
+    every = samples.unionByName(evaluation)
+    n = every.count()
+    rounds = -(-short // n) if n else 0
+    again = every.withColumn("turn", F.explode(F.sequence(F.lit(1), F.lit(max(1, rounds)))))
+    again = again.orderBy("turn", shuffled(seed + 1, F.col("source_id")), "source_id").limit(short) if n else again.limit(0)
+    return mixed.unionByName(again).drop("turn")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import blank, filled, first_full, strip
+from corpusmill.operators.split import sampled
 
 CHUNK = ("chunk_id", "doc_type", "category", "title", "content", "source")
 
@@ -71,3 +72,17 @@ def doc_reference(text: Column) -> Column:
     out = F.regexp_replace(F.regexp_replace(out, r"(?U)^doc_id\s*=\s*", ""), r"(?U)^doc_id\s*[:：]\s*", "")
     out = strip(F.split_part(out, F.lit(";"), F.lit(1)))
     return strip(F.regexp_replace(F.regexp_replace(out, "^`+|`+$", ""), "^-+|-+$", ""))
+
+
+def picked(df: DataFrame, categories: list[str], n: int, key: str = "chunk_id", seed: int = 42) -> DataFrame:
+    """Up to n documents for each of ``categories`` in shuffled order, each document once, those without a key
+    left out.  A category takes its own documents (product_info also products); without any it takes from all."""
+    known = df.where(~blank(F.col(key)))
+    wanted = F.array(*[F.lit(c) for c in sorted(set(categories))])
+    fits = F.filter(wanted, lambda c: (F.col("category") == c) | ((c == "product_info") & (F.col("doc_type") == "product")))
+    own = sampled(known.withColumn("_for", F.explode(fits)), ["_for"], key, n, seed)
+    served = own.select("_for").distinct()
+    lone = known.sparkSession.range(1).select(F.explode(wanted).alias("_for")).join(served, "_for", "left_anti")
+    spare = known.withColumn("_all", F.lit(1))
+    spare = sampled(spare, ["_all"], key, n, seed).drop("_all") if lone.limit(1).count() else known.limit(0)
+    return own.drop("_for").unionByName(spare).dropDuplicates([key])

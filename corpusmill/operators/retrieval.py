@@ -125,3 +125,22 @@ def context(hits: Column) -> Column:
     """Retrieved documents as numbered text for a prompt."""
     line = lambda h, i: F.format_string("[%d] doc_id=%s score=%.4f\n%s\n%s", i + 1, h["doc_id"], h["score"], h["title"], h["content"])
     return F.when(F.coalesce(F.size(hits), F.lit(0)) == 0, F.lit("（无）")).otherwise(F.array_join(F.transform(hits, line), "\n\n"))
+
+
+def preview(hits: Column, width: int = 120) -> Column:
+    """(rank, doc_id, category, score, text) of each hit, the text on one line and cut."""
+    return F.transform(hits, lambda h, i: F.struct((i + 1).alias("rank"), h["doc_id"].alias("doc_id"), h["category"].alias("category"), h["score"].alias("score"), F.substring(F.regexp_replace(h["content"], "\n", " "), 1, width).alias("text")))
+
+
+def rag_messages(query: Column, hits: Column, system: str) -> Column:
+    """System and user message; the user's holds the hits numbered with type, category, title and content (ids
+    stay out of what a model sees) and the question."""
+    line = lambda h, i: F.concat((i + 1).cast("string"), F.lit(". "), F.concat_ws(" | ", h["doc_type"], h["category"], h["title"]), F.lit("\n"), h["content"])
+    told = F.when(F.coalesce(F.size(hits), F.lit(0)) == 0, F.lit("-")).otherwise(F.array_join(F.transform(hits, line), "\n\n"))
+    return F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content")), F.struct(F.lit("user").alias("role"), F.concat(told, F.lit("\n\n"), query).alias("content")))
+
+
+def resolved(top_k: int | None, least: float | None, category: str | None, config: dict) -> dict:
+    """A call's options: 0 or no top_k is the configured one, only no threshold is, and a category counts only
+    where the configuration filters by it."""
+    return {"k": top_k or config.get("top_k", 5), "least": config.get("score_threshold", 0.0) if least is None else least, "category": "compat" if category and config.get("use_category_filter") else "off"}

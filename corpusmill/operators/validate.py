@@ -242,3 +242,9 @@ def preference_audit(item: dict[str, Column], row_json: Column, most_alike: floa
         coded(sensitive(row_json)),
         Rule("bad_preference_reason", _length(strip(item["preference_reason"])) < 8),
     ]
+
+
+def drop_example(reason: Column, messages: Column, width: int = 200) -> Column:
+    """What a report shows of a dropped sample."""
+    cut = lambda role: F.substring(role_text(messages, role), 1, width)
+    return F.struct(reason.alias("reason"), cut("user").alias("user"), cut("assistant").alias("assistant"))

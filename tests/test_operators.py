@@ -291,3 +291,29 @@ def test_items(spark):
     assert value(spark, ("查物流", "退款"), "a string, b string", related) is False and value(spark, ("hello", ""), "a string, b string", related) is True
     labels = one(spark, items.masked_labels(F.array(F.lit(1), F.lit(2)), F.array(F.lit(3), F.lit(4)), 3))
     assert labels["input_ids"] == [1, 2, 3] and labels["labels"] == [-100, -100, 3]
+
+
+def test_picked_documents(spark):
+    rows = [(f"d{i}", "a" if i < 4 else "b", "faq") for i in range(6)] + [("p", "x", "product"), (None, "a", "faq")]
+    df = spark.createDataFrame(rows, "chunk_id string, category string, doc_type string")
+    got = [r["chunk_id"] for r in kb.picked(df, ["a", "product_info"], 3).collect()]
+    assert len(got) == 4 and "p" in got and len(set(got)) == 4
+    assert kb.picked(df, ["none"], 2).count() == 2 and kb.picked(df, ["a", "a"], 9).count() == 4
+
+
+def test_source_mix(spark):
+    samples, evaluation = (spark.createDataFrame([(f"{p}{i}",) for i in range(n)], "source_id string") for p, n in (("s", 10), ("e", 2)))
+    got = [r["source_id"] for r in items.source_mix(samples, evaluation, 10).collect()]
+    assert len(got) == 10 and sum(x.startswith("s") for x in got) >= 7
+    assert items.source_mix(samples, evaluation, 40).count() == 40 and items.source_mix(samples.limit(0), evaluation.limit(0), 3).count() == 0
+
+
+def test_prompts_and_options(spark):
+    schema = "h array<struct<doc_id:string,doc_type:string,category:string,title:string,content:string,score:double>>"
+    row = ([("d", "faq", "c", "t", "x\ny", 0.5)],)
+    assert value(spark, row, schema, retrieval.rag_messages(F.lit("q"), F.col("h"), "s"))[1]["content"] == "1. faq | c | t\nx\ny\n\nq"
+    assert value(spark, row, schema, retrieval.preview(F.col("h"), 2))[0]["text"] == "x "
+    assert value(spark, ([],), schema, retrieval.rag_messages(F.lit("q"), F.col("h"), "s"))[1]["content"] == "-\n\nq"
+    assert retrieval.resolved(0, None, "a", {"top_k": 7}) == {"k": 7, "least": 0.0, "category": "off"}
+    example = value(spark, ([("user", "u" * 300)],), f"m {MESSAGES}", validate.drop_example(F.lit("r"), F.col("m")))
+    assert len(example["user"]) == 200 and example["assistant"] == ""

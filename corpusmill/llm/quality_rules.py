@@ -153,7 +153,12 @@ class LineRules:
             for name, value in zip(out, row, strict=True):
                 out[name].append(bool(value) if isinstance(value, np.bool_) else value)
             if texts is not None:
-                good = [data[s:e].tobytes() for s, e, x in zip(line_starts[lines], line_ends[lines], bad[lines], strict=True) if not x]
+                failing = set(line_starts[lines][bad[lines]].tolist())
+                good, at = [], int(docs[k])
+                for line in data[docs[k] : docs[k + 1]].tobytes().split(b"\n"):
+                    if not line or at not in failing:  # an empty line can stand where the next text starts
+                        good.append(line)
+                    at += len(line) + 1
                 texts.append(b"\n".join(good).decode())
 
 

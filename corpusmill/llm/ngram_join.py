@@ -7,6 +7,7 @@
 3. Two sets link only if they share a shingle of both prefixes, at places that leave room for the overlap
    they need (positional filter), and are of like size (length filter).  What is left meets a bound on the
    overlap by counts of shingles in ``CELLS`` ranges (suffix filter), and then the sets themselves, once.
+   Sets are made again from the texts, for those classes alone that pass all filters with another (shingles that more than ``SMALL`` classes share count as passed, so none are paired up for this).
 4. Only what decides components is compared: two rounds compare the classes of each shared shingle with one
    of them, each round another, and join what links.  The last round compares all pairs of classes that share
    a shingle and are not yet in one component, so no link between different components is lost, and a group
@@ -29,9 +30,9 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm import vec
 from corpusmill.llm.components import components
-from corpusmill.llm.store import written
+from corpusmill.llm.store import dropped, written
 
-RANKED, CELLS, PIVOT_ROUNDS = 1 << 17, 32, 2
+RANKED, CELLS, PIVOT_ROUNDS, SMALL = 1 << 17, 64, 2, 32
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -67,6 +68,7 @@ def frequent(docs: DataFrame, k: int, most: int = RANKED) -> tuple[np.ndarray, n
     if least is None:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     rows = counts.where(F.floor(F.log2("n")) >= int(least)).toArrow()
+    dropped(counts)
     keys, n = rows["shingle"].to_numpy().view(np.uint64), rows["n"].to_numpy()
     order = np.argsort(keys)
     return keys[order], n[order]
@@ -97,7 +99,7 @@ def _signed(k: int, num: int, den: int, keys: np.ndarray, counts: np.ndarray):
                 one.append(a)
                 two.append(b)
                 prefix.append(ordered[: size - -(-num * size // den) + 1].view(np.int64) if size else np.zeros(0, np.int64))
-                cells.append(np.bincount((held >> np.uint64(59)).astype(np.int64), minlength=CELLS).astype(np.int32))
+                cells.append(np.bincount((held >> np.uint64(58)).astype(np.int64), minlength=CELLS).astype(np.int32))
             arrays = [batch.column("id"), batch.column("hash"), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(cells, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(arrays, names=["id", "hash", "n", "k1", "k2", "prefix", "cells"])
 
@@ -130,12 +132,17 @@ def _fits(x: str, y: str, num: int, den: int) -> Column:
     return (n * den >= m * num) & (m * den >= n * num) & (F.least(n - F.col(f"{x}.pos"), m - F.col(f"{y}.pos")) >= _needed(n, m, num, den))
 
 
-def _verified(pairs: DataFrame, cells: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
+def _roomy(pairs: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose counts by range leave room for the overlap they need."""
     for x in ("a", "b"):
-        pairs = pairs.join(cells.select(F.col("cls").alias(x), F.col("cells").alias(f"c{x}"), F.col("n").alias(f"n{x}")), x)
+        pairs = pairs.join(known.select(F.col("cls").alias(x), F.col("cells").alias(f"c{x}"), F.col("n").alias(f"n{x}")), x)
     room = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    pairs = pairs.where(room >= _needed(F.col("na"), F.col("nb"), num, den)).select("a", "b")
+    return pairs.where(room >= _needed(F.col("na"), F.col("nb"), num, den)).select("a", "b")
+
+
+def _verified(pairs: DataFrame, known: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sets link."""
+    pairs = _roomy(pairs, known, num, den)
     for x in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("cls").alias(x), F.col("held").alias(f"h{x}")), x)
     both = F.size(F.array_intersect("ha", "hb"))
@@ -145,9 +152,12 @@ def _verified(pairs: DataFrame, cells: DataFrame, sets: DataFrame, num: int, den
 
 def classes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(rows: id, hash, n, k1, k2; classes with the smallest id, prefix and counts), both written."""
-    rows = written(docs.mapInArrow(_signed(k, num, den, *frequent(docs, k)), "id long, hash long, n long, k1 long, k2 long, prefix array<long>, cells array<int>"), "ngram-rows")
-    one = rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("id"), F.first("prefix").alias("prefix"), F.first("cells").alias("cells"))
-    return rows.select("id", "hash", "n", "k1", "k2"), written(one.withColumn("cls", F.monotonically_increasing_id()), "ngram-classes")
+    every = written(docs.mapInArrow(_signed(k, num, den, *frequent(docs, k)), "id long, hash long, n long, k1 long, k2 long, prefix array<long>, cells array<int>"), "ngram-rows")
+    rows = written(every.select("id", "hash", "n", "k1", "k2"), "ngram-rows")
+    one = every.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("id"), F.first("prefix").alias("prefix"), F.first("cells").alias("cells"))
+    one = written(one.withColumn("cls", F.monotonically_increasing_id()), "ngram-classes")
+    dropped(every)
+    return rows, one
 
 
 def _hash(text: Column) -> Column:
@@ -160,16 +170,25 @@ def linked(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5,
     each component, null without shingles)."""
     text, key = F.col(f"`{text}`"), F.col(f"`{key}`")
     docs = docs.select(key.cast("long").alias("id"), _hash(text).alias("hash"), text.cast("string").alias("text"))
-    rows, known = classes(docs, k, num, den)
-    postings = known.select("cls", "n", F.posexplode("prefix").alias("pos", "shingle"))
+    rows, whole = classes(docs, k, num, den)
+    known = written(whole.drop("prefix"), "ngram-known")
+    postings = whole.select("cls", "n", F.posexplode("prefix").alias("pos", "shingle"))
     # the shorter set of a pair holds the shared shingle early; a shingle without such a place makes no pair
     early = F.col("n") - F.col("pos") >= _needed(F.col("n"), F.col("n"), num, den)
-    shared = postings.groupBy("shingle").agg(F.count("*").alias("df"), F.max(early).alias("early")).where("df > 1 and early").select("shingle")
-    postings = written(postings.join(shared, "shingle"), "ngram-postings")
-    candidates = postings.select("cls").distinct()
-    summary = written(known.join(candidates, "cls").select("cls", "id", "k1", "n", "cells"), "ngram-summary")
-    texts = docs.join(summary.where("id is not null").select("id", "cls", "k1"), "id").select("cls", "k1", "text")
+    # counted by half of its bits: a chance agreement only lets a posting stay
+    half = F.shiftright("shingle", 32).cast("int")
+    shared = postings.groupBy(half.alias("half")).agg(F.count("*").alias("df"), F.max(early).alias("early")).where("df > 1 and early").select("half", "df")
+    wide = written(postings.join(shared, half == F.col("half")).select("cls", "n", "pos", "shingle", "df"), "ngram-shared")
+    dropped(whole)
+    few = wide.where(F.col("df") <= SMALL)
+    met = few.alias("x").join(few.alias("y"), "shingle").where((F.col("x.cls") < F.col("y.cls")) & _fits("x", "y", num, den))
+    pairs = _roomy(met.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct(), known, num, den)
+    active = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(wide.where(F.col("df") > SMALL).select("cls")).distinct()
+    active = written(known.join(active, "cls").select("cls", "id", "k1"), "ngram-active")
+    postings = written(wide.drop("df").join(active.select("cls"), "cls", "left_semi"), "ngram-postings")
+    texts = docs.join(active, "id").select("cls", "k1", "text")
     sets = written(texts.mapInArrow(_whole(k), "cls long, held array<long>").groupBy("cls").agg(F.first("held").alias("held")), "ngram-sets")
+    dropped(wide, active)
 
     labels = None  # of classes in a component of two or more
 
@@ -180,8 +199,11 @@ def linked(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5,
 
     def joined(links: DataFrame) -> DataFrame:
         """Labels after the links between what was labelled so far."""
+        links = written(links, "ngram-links")
         every = links if labels is None else links.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        return written(components(every), "ngram-labels")
+        found = written(components(every), "ngram-labels")
+        dropped(links, *([labels] if labels is not None else []))
+        return found
 
     for turn in range(PIVOT_ROUNDS):
         rows_now = labelled()
@@ -189,7 +211,7 @@ def linked(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5,
         pivot = rows_now.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(order.alias("h"), "cls", "n", "pos", "label")).alias("p")).where("lo <> hi").select("shingle", "p.*")
         met = rows_now.alias("x").join(pivot.alias("y"), "shingle").where((F.col("x.label") != F.col("y.label")) & _fits("x", "y", num, den))
         pairs = met.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
-        labels = joined(_verified(pairs, summary, sets, num, den))
+        labels = joined(_verified(pairs, known, sets, num, den))
     rows_now = written(labelled(), "ngram-labelled")
     by_label = rows_now.groupBy("shingle", "label").agg(F.count("*").alias("c"))
     largest = by_label.groupBy("shingle").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("shingle", F.col("top.label").alias("top"))
@@ -197,7 +219,8 @@ def linked(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5,
     minor = open_rows.where("label <> top")
     met = minor.alias("x").join(rows_now.alias("y"), "shingle").where((F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("x.top")) | (F.col("x.cls") < F.col("y.cls"))) & _fits("x", "y", num, den))
     pairs = met.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
-    labels = joined(_verified(pairs, summary, sets, num, den))
+    labels = joined(_verified(pairs, known, sets, num, den))
+    dropped(rows_now, sets, postings)
 
     named = known.join(labels, known["cls"] == labels["node"], "left").select("k1", "k2", known["n"], "id", F.coalesce("label", "cls").alias("label"))
     least = named.groupBy("label").agg(F.min("id").alias("component_id"))

@@ -1,59 +1,5 @@
-"""Cutting lineage with tables in the folder that all executors share."""
+"""The shared-folder tables of the library, under this folder's name."""
 
-from __future__ import annotations
+from corpusmill.store import dropped, shared_folder, written
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where it is unset (as in tests) a folder of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="corpusmill-")
-        if not known.isDefined():
-            spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            if spark.sparkContext._jsc is not None:
-                _remove(spark, path)
-        except Exception:  # noqa: BLE001  the session ended first; the folder's own expiry takes it
-            pass
-
-
-atexit.register(_clean)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it again.
-
-    A lost executor costs nothing that was written; the table goes when this process ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(spark: SparkSession, *frames: DataFrame) -> None:
-    """Remove tables made by ``written`` that no later step reads."""
-    for df in frames:
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            _remove(spark, path)
+__all__ = ["dropped", "shared_folder", "written"]

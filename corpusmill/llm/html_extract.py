@@ -27,7 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.store import written
+
 GROUP, MIN_SUPPORT = 64, 0.5
+#: Hosts whose page counts are broadcast at most (some 20 MB); beyond, a join salted so many times.
+MAX_BROADCAST, SALTS = 200_000, 32
 
 #: Element names of HTML by their part in a page.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -264,8 +268,15 @@ def main_texts(pages: DataFrame, key: str = "page_id", url: str = "url", page: s
     """(page_id, url, text, n_chars) of every page."""
     rows = pages.select(F.col(f"`{key}`").cast("long").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), F.coalesce(F.col(f"`{page}`").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("host", F.lower(F.coalesce(F.regexp_extract("url", "://([^/?#]*)", 1), F.lit(""))))
-    hosts = rows.groupBy("host").agg(F.ceil(F.count("*") / GROUP).alias("groups")).withColumnRenamed("host", "_host")
-    dealt = rows.join(hosts, F.col("host") == F.col("_host")).withColumn("part", F.pmod(F.xxhash64("page_id", "url", "html"), F.col("groups"))).select("page_id", "url", "html", "host", "part")
+    rows = rows.withColumn("mark", F.xxhash64("page_id", "url", "html"))
+    hosts = written(rows.groupBy("host").agg(F.ceil(F.count("*") / GROUP).alias("groups")).withColumnRenamed("host", "_host"), "html-hosts")
+    if hosts.count() <= MAX_BROADCAST:
+        counted = rows.join(F.broadcast(hosts), F.col("host") == F.col("_host"))
+    else:  # too many hosts to send: a join that a large host can't fill one task of
+        every = rows.withColumn("_salt", F.pmod(F.shiftright("mark", 32), F.lit(SALTS)))
+        wide = hosts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        counted = every.join(wide, (F.col("host") == F.col("_host")) & (every["_salt"] == wide["_salt"]))
+    dealt = counted.select("page_id", "url", "html", "host", F.pmod(F.col("mark"), F.col("groups")).alias("part"))
 
     def run(group: pa.Table) -> pa.Table:
         texts = extract(group["html"].to_pylist())

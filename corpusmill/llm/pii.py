@@ -227,9 +227,9 @@ def find(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
 def redact(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with every span of personal data replaced by its kind in brackets; spans that touch or overlap
     become one.  Other columns stay; a null text stays null."""
-    found = find(docs, text, key).where(F.size("spans") > 0).select("row_id", "row_hash", F.col("spans").alias("_spans")).dropDuplicates(["row_id", "row_hash"])
+    found = find(docs, text, key).where(F.size("spans") > 0).select(F.col("row_id").alias("_found_id"), F.col("row_hash").alias("_found_hash"), F.col("spans").alias("_spans")).dropDuplicates(["_found_id", "_found_hash"])
     keyed = docs.withColumns({"_row_id": F.col(f"`{key}`").cast("long"), "_row_hash": F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.length(F.col(f"`{text}`")))})
-    joined = keyed.join(found, F.col("_row_id").eqNullSafe(F.col("row_id")) & (F.col("_row_hash") == F.col("row_hash")), "left")
+    joined = keyed.join(found, F.col("_row_id").eqNullSafe(F.col("_found_id")) & (F.col("_row_hash") == F.col("_found_hash")), "left")
     # from left to right: (pieces so far, place up to which the text is used)
     state = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"))
     source = F.col(f"`{text}`")

@@ -113,7 +113,7 @@ def _whole(k: int):
         for batch in batches:
             cls, known, out = batch.column("cls").to_pylist(), batch.column("k1").to_pylist(), ([], [])
             for i, held in _sets(batch.column("text"), k):
-                if set_key(held)[0] == known[i]:  # another text of the same id is not this class
+                if set_key(held)[0] == known[i]:  # another text of the same hash is not this class
                     out[0].append(cls[i])
                     out[1].append(held.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64()))], names=["cls", "held"])
@@ -151,11 +151,11 @@ def _verified(pairs: DataFrame, known: DataFrame, sets: DataFrame, num: int, den
 
 
 def classes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(rows: id, hash, n, k1, k2; classes with the smallest id, prefix and counts), both written."""
+    """(rows: id, hash, n, k1, k2; classes with the smallest id (null if all are), its text's hash, prefix and counts), both written."""
     every = written(docs.mapInArrow(_signed(k, num, den, *frequent(docs, k)), "id long, hash long, n long, k1 long, k2 long, prefix array<long>, cells array<int>"), "ngram-rows")
     rows = written(every.select("id", "hash", "n", "k1", "k2"), "ngram-rows")
-    one = every.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("id"), F.first("prefix").alias("prefix"), F.first("cells").alias("cells"))
-    one = written(one.withColumn("cls", F.monotonically_increasing_id()), "ngram-classes")
+    one = every.where("n > 0").groupBy("k1", "k2", "n").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("least"), F.first("prefix").alias("prefix"), F.first("cells").alias("cells"))
+    one = written(one.select("k1", "k2", "n", "least.id", "least.hash", "prefix", "cells").withColumn("cls", F.monotonically_increasing_id()), "ngram-classes")
     dropped(every)
     return rows, one
 
@@ -184,9 +184,10 @@ def linked(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5,
     met = few.alias("x").join(few.alias("y"), "shingle").where((F.col("x.cls") < F.col("y.cls")) & _fits("x", "y", num, den))
     pairs = _roomy(met.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct(), known, num, den)
     active = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(wide.where(F.col("df") > SMALL).select("cls")).distinct()
-    active = written(known.join(active, "cls").select("cls", "id", "k1"), "ngram-active")
+    active = written(known.join(active, "cls").select("cls", F.col("id").alias("_id"), F.col("hash").alias("_hash"), "k1"), "ngram-active")
     postings = written(wide.drop("df").join(active.select("cls"), "cls", "left_semi"), "ngram-postings")
-    texts = docs.join(active, "id").select("cls", "k1", "text")
+    # null-safe: a class of rows without an id is found by its text
+    texts = docs.join(active, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))).select("cls", "k1", "text")
     sets = written(texts.mapInArrow(_whole(k), "cls long, held array<long>").groupBy("cls").agg(F.first("held").alias("held")), "ngram-sets")
     dropped(wide, active)
 

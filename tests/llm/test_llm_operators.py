@@ -83,6 +83,20 @@ def test_jaccard_join(spark, k, num):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(jaccard_components(rows, k, num, 100), key=repr)
 
 
+def test_jaccard_join_of_near_copies_without_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    bridge, far = [*words[:-3], "x", "y", "z"], [*words[3:-3], "x", "y", "z"]
+    lone = [f"v{i}" for i in range(40)]
+    rows = [(5, " ".join(words)), (None, " ".join(bridge)), (9, " ".join(far)), (None, " ".join(lone)), (None, " ".join([*lone, "more"])), (None, " ".join(lone[::-1])), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.linked(df, k=3, num=90, den=100).select("id", "n_shingles", "component_id")
+    want = jaccard_components(rows, 3, 90, 100)
+    assert [c for *_, c in want[:3]] == [5, 5, 5] and jaccard_components([rows[0], rows[2]], 3, 90, 100)[1][2] == 9
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    kept = sorted((r["text"] or "" for r in ngram_join.one_of_each(df, k=3, num=90, den=100).collect()), key=len)
+    assert len(kept) == 4 and " ".join(words) in kept and " ".join(lone[::-1]) in kept and "" in kept
+
+
 def test_jaccard_join_of_nothing(spark):
     assert ngram_join.linked(rows_of(spark, [])).count() == 0 and ngram_join.one_of_each(rows_of(spark, [])).count() == 0
 

@@ -5,8 +5,8 @@ their role (name, class, id and the containers they stand in).  Roles with the s
 group's distinct pages form an equivalence class; a class is valid if it is frequent enough and its roles stand
 in the same order on every page.  The class that occurs once a page is the template's spine, the others nest in
 its slots.  Slots whose template part is a menu, header, footer, sidebar, notice, advert, form, script, style
-or comment section are left out; of the others those in an article or main part are the text, and where a
-group has no such part, the slots of the container that holds most of the text that is not links.
+or comment section are left out; of the others those in an article or main part are the text, and on a
+page without text in such a part, all of them.
 
 A class is read off the tags alone: words that many pages share may be an article's own, so they never make
 a template.  Text of a slot is cut into blocks at block-level tags; in a block references are decoded and
@@ -245,21 +245,12 @@ def extract(htmls: list[str]) -> list[str]:
             if kind(path) == "main":
                 size[slots[h][at]] += len(piece.strip())
     main_slots = {k for k, v in size.items() if v}
-    deepest: tuple[str, ...] = ()
-    weight: Counter = Counter()
-    for p in pages:
-        for _, path, piece, link in p.pieces:
-            if kind(path) == "open" and not link:
-                for n in range(len(path) + 1):
-                    weight[path[:n]] += len(piece.strip())
-    if weight[()]:
-        deepest = max((x for x in weight if weight[x] >= 0.6 * weight[()]), key=len)
     texts = {}
     for h, p in known.items():
         place = slots[h]
         text = _text(p.pieces, lambda at, path, place=place: kind(path) == "main" and place[at] in main_slots)
         if not text:
-            text = _text(p.pieces, lambda _, path: kind(path) == "open" and path[: len(deepest)] == deepest)
+            text = _text(p.pieces, lambda _, path: kind(path) == "open")
         texts[h] = text
     return [texts[h] for h in htmls]
 

@@ -204,6 +204,14 @@ def test_extraction(body, text):
     assert html_extract.extract([page(body)]) == [text]
 
 
+def test_pages_without_an_article_keep_all_open_text():
+    one = [page(f"<p>intro {i}</p><div class=a><p>{'long ' * 30}{i}</p></div>") for i in range(6)]
+    two = [page(f"<div class=b><p>short {i}</p></div>") for i in range(4)]
+    got = html_extract.extract([*one, *two])
+    assert got == [*(f"intro {i}\n{'long ' * 30}{i}" for i in range(6)), *(f"short {i}" for i in range(4))]
+    assert html_extract.extract(two[:1]) == ["short 0"] and html_extract.extract(one[:1]) == got[:1]
+
+
 def test_template_is_the_shared_spine():
     pages = [html_extract.Page(page("<article>" + "<p>x</p>" * n + "</article>")) for n in (1, 2, 3)]
     spine = [r for r, _ in html_extract.template(pages)]

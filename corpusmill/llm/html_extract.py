@@ -3,17 +3,21 @@
 Pages of a host are dealt into groups of about ``GROUP`` pages.  In a group, tags are tokens told apart by
 their role (name, class, id and the containers they stand in).  Roles with the same occurrence vector over the
 group's distinct pages form an equivalence class; a class is valid if it is frequent enough and its roles stand
-in the same order on every page.  The class that occurs once a page is the template's spine, the others nest in
-its slots.  Slots whose template part is a menu, header, footer, sidebar, notice, advert, form, script, style
-or comment section are left out; of the others those in an article or main part are the text, and on a
-page without text in such a part, all of them.
+in the same order on every page.  The class that occurs once a page is the template's spine; in each of its
+slots classes are formed again, so the others nest there, told apart by their occurrence where a role occurs
+equally often on all pages that have it.  A block of text belongs to the slot behind the last tag before it.
+Slots that hold the same block wherever they occur, on ``MIN_ALIKE`` pages or more, are template and left out.
+So are the parts that their names give away, as a menu varies with the page like a text does: menu, header,
+footer, sidebar, notice, advert, form, script, style or comment section.  Of the other slots those in an
+article or main part are the text, and on a page without text in such a part, all of them.
 
 A class is read off the tags alone: words that many pages share may be an article's own, so they never make
 a template.  Text of a slot is cut into blocks at block-level tags; in a block references are decoded and
 white space becomes one space; blocks are joined by a line feed.
 
 Defined results: null or empty html gives an empty text.  A null url is the host without a name.  Equal pages
-count once in the deduction and each get their text.  Unclosed tags, comments and quotes are read as browsers
+count once in the deduction and each get their text.  A page whose text would be all template keeps it (its
+group then shows copies, not a template).  Unclosed tags, comments and quotes are read as browsers
 do, in time linear in the page.
 """
 
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.store import written
 
-GROUP, MIN_SUPPORT = 64, 0.5
+GROUP, MIN_SUPPORT, MIN_ALIKE = 64, 0.5, 3
 #: Hosts whose page counts are broadcast at most (some 20 MB); beyond, a join salted so many times.
 MAX_BROADCAST, SALTS = 200_000, 32
 
@@ -151,11 +155,11 @@ class Page:
                 self.roles.append(("/" + name, tuple(path)))
 
 
-def equivalence_classes(pages: list[Page]) -> dict[tuple[int, ...], list[tuple[str, tuple[str, ...]]]]:
-    """Valid classes by occurrence vector: roles in page order, with enough support."""
-    counts = [Counter(p.roles) for p in pages]
+def equivalence_classes(pages: list[list]) -> dict[tuple[int, ...], list]:
+    """Valid classes of the pages' roles by occurrence vector: roles in page order, with enough support."""
+    counts = [Counter(p) for p in pages]
     vectors: dict = defaultdict(list)
-    for role in dict.fromkeys(r for p in pages for r in p.roles):
+    for role in dict.fromkeys(r for p in pages for r in p):
         vectors[tuple(c[role] for c in counts)].append(role)
     valid = {}
     for vector, roles in vectors.items():
@@ -166,7 +170,7 @@ def equivalence_classes(pages: list[Page]) -> dict[tuple[int, ...], list[tuple[s
             for p, v in zip(pages, vector, strict=True):
                 if v:
                     mine = set(roles)
-                    seen = [r for r in p.roles if r in mine]
+                    seen = [r for r in p if r in mine]
                     order = seen if order is None else order
                     if seen != order:  # keep those that stand alike on all pages
                         place = {r: i for i, r in enumerate(seen)}
@@ -183,7 +187,7 @@ def equivalence_classes(pages: list[Page]) -> dict[tuple[int, ...], list[tuple[s
 
 def template(pages: list[Page]) -> list[tuple[str, tuple[str, ...]]]:
     """The spine: roles of the class that occurs once on every page, in order."""
-    return equivalence_classes(pages).get((1,) * len(pages), [])
+    return equivalence_classes([p.roles for p in pages]).get((1,) * len(pages), [])
 
 
 def _kind(path: tuple[str, ...]) -> str:
@@ -205,24 +209,65 @@ def _kind(path: tuple[str, ...]) -> str:
     return "main" if inside else "open"
 
 
-def _text(pieces: list[tuple[int, tuple[str, ...], str, bool]], keep) -> str:
-    blocks, now = [], []
-    for at, path, piece, _ in pieces:
-        if piece == "\n" or not keep(at, path):
-            blocks.append("".join(now))
-            now = []
-            continue
-        now.append(piece)
-    blocks.append("".join(now))
-    return "\n".join(x for x in (" ".join(b.split()) for b in blocks) if x)
+def _blocks(page: Page, kind) -> list[tuple[int, str, str]]:
+    """(tags before, kind, text) of a page's blocks that are not left out by name."""
+    blocks, now, start, of = [], [], 0, ""
+    for at, path, piece, _ in [*page.pieces, (0, (), "\n", False)]:
+        mine = "" if piece == "\n" else kind(path)
+        if mine != of or not mine or mine == "out":
+            text = " ".join("".join(now).split())
+            if text and of != "out":
+                blocks.append((start, of, text))
+            now, of = [], mine
+        if mine and mine != "out":
+            start = at if not "".join(now).strip() else start
+            now.append(piece)
+    return blocks
+
+
+def slots(pages: list[Page]) -> list[list]:
+    """The template slot behind each tag of each page, None where the tag is of no valid class."""
+    on_spine = set(template(pages))
+    nested = []  # roles told apart by the slot of the spine they stand in
+    for p in pages:
+        place, own = 0, []
+        for role in p.roles:
+            place += role in on_spine
+            own.append((place, role))
+        nested.append(own)
+    fixed, valid = set(), set()
+    for vector, roles in equivalence_classes(nested).items():
+        valid.update(roles)
+        if len({v for v in vector if v}) == 1:
+            fixed.update(roles)
+    out = []
+    for own in nested:
+        seen: Counter = Counter()
+        mine = []
+        for role in own:
+            seen[role] += 1
+            mine.append((role, seen[role] if role in fixed else 0) if role in valid else None)
+        out.append(mine)
+    return out
+
+
+def constant(pages: list[Page], found: list[list[tuple[int, str, str]]], behind: list[list]) -> set:
+    """Slots that hold one and the same block wherever they occur, on enough pages."""
+    occur = Counter(s for mine in behind for s in mine if s is not None)
+    held, texts, on = Counter(), defaultdict(set), defaultdict(set)
+    for i, blocks in enumerate(found):
+        for at, _, text in blocks:
+            if at and (s := behind[i][at - 1]) is not None:
+                held[s] += 1
+                texts[s].add(text)
+                on[s].add(i)
+    return {s for s, n in held.items() if len(texts[s]) == 1 and n == occur[s] and len(on[s]) >= MIN_ALIKE}
 
 
 def extract(htmls: list[str]) -> list[str]:
     """Main texts of pages of one host."""
     known = {h: Page(h) for h in dict.fromkeys(htmls)}
     pages = list(known.values())
-    spine = template(pages)
-    on_spine = set(spine)
     kinds: dict[tuple[str, ...], str] = {}
 
     def kind(path: tuple[str, ...]) -> str:
@@ -230,28 +275,15 @@ def extract(htmls: list[str]) -> list[str]:
             kinds[path] = _kind(path)
         return kinds[path]
 
-    # slots: between which roles of the spine a piece stands
-    slots = {}
-    for h, p in known.items():
-        place, k = [], 0
-        for r in p.roles:
-            place.append(k)
-            k += r in on_spine
-        place.append(k)
-        slots[h] = place
-    size: Counter = Counter()
-    for h, p in known.items():
-        for at, path, piece, _ in p.pieces:
-            if kind(path) == "main":
-                size[slots[h][at]] += len(piece.strip())
-    main_slots = {k for k, v in size.items() if v}
+    found = [_blocks(p, kind) for p in pages]
+    behind = slots(pages)
+    same = constant(pages, found, behind)
     texts = {}
-    for h, p in known.items():
-        place = slots[h]
-        text = _text(p.pieces, lambda at, path, place=place: kind(path) == "main" and place[at] in main_slots)
-        if not text:
-            text = _text(p.pieces, lambda _, path: kind(path) == "open")
-        texts[h] = text
+    for h, blocks, mine in zip(known, found, behind, strict=True):
+        varying = [(of, text) for at, of, text in blocks if not at or mine[at - 1] not in same]
+        every = [(of, text) for _, of, text in blocks]
+        kept = next((k for k in ([t for of, t in some if of == part] for part in ("main", "open") for some in (varying, every)) if k), [])
+        texts[h] = "\n".join(kept)
     return [texts[h] for h in htmls]
 
 

@@ -212,6 +212,19 @@ def test_pages_without_an_article_keep_all_open_text():
     assert html_extract.extract(two[:1]) == ["short 0"] and html_extract.extract(one[:1]) == got[:1]
 
 
+def test_the_template_decides_what_is_text():
+    said = lambda i: f"<h1>Site</h1><p>text <b>{i}</b></p><p>also {i * i}</p>" + f"<section><p>part {i}</p><span>Read on</span></section>" * (i % 3 + 1)
+    pages = [page(f"<article>{said(i)}<p>All rights</p></article>") for i in range(5)]
+    want = [f"text {i}\nalso {i * i}" + f"\npart {i}" * (i % 3 + 1) for i in range(5)]
+    assert html_extract.extract(pages) == want
+    # two pages show no template, and copies are no template
+    assert html_extract.extract(pages[:2]) == [w.replace("text", "Site\ntext").replace(f"part {i}", f"part {i}\nRead on") + "\nAll rights" for i, w in enumerate(want[:2])]
+    assert html_extract.extract([page("<article><p>copy</p></article>", h) for h in "abcd"]) == ["copy"] * 4
+    # a text that only some of a slot's pages share, and slots outside an article
+    assert html_extract.extract([page(f"<article><p>{'same' if i else 'other'}</p><p>{i}</p></article>") for i in range(5)])[1] == "same\n1"
+    assert html_extract.extract([page(f"<ul><li><a>Home</a></li><li><a>Shop</a></li></ul><p>open {i}</p>") for i in range(5)]) == [f"open {i}" for i in range(5)]
+
+
 def test_template_is_the_shared_spine():
     pages = [html_extract.Page(page("<article>" + "<p>x</p>" * n + "</article>")) for n in (1, 2, 3)]
     spine = [r for r, _ in html_extract.template(pages)]

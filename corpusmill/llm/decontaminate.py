@@ -11,6 +11,11 @@ under all values that near each of its blocks, and a window meets all items with
 Those are compared on their whole length: weighted Jaccard of five-word shingles, a shingle weighing its
 number times log(1 + items / items that hold it).
 
+A fingerprint speaks for an item's first words only, so copies changed there are found by anchors: shingles of
+an item that together weigh more than the part of it that ``LEAST`` lets a copy miss, wherever they stand.  Any
+window as alike as that holds one of them.  All windows as long as the item that hold an anchor are compared,
+also those that stick out of the document's start or end, there cut, so none at ``LEAST`` or more is missed.
+
 Items go to the executors in blocks of ``ITEM_BLOCK``, each block one pass over the documents.
 
 Defined results: null and empty texts hold no item.  Items of fewer than five words are too short to tell
@@ -96,7 +101,20 @@ class Index:
                 starts = np.searchsorted(near.reshape(-1)[order], np.arange(65537))
                 tables.append((starts, who[order], np.diff(starts) > 0))
             self.classes.append((size, own, prints, tables))
-        self.longest = max((len(w) for _, w in self.items), default=0)
+        self.total_weight = [sum(w.values()) for w in self.weights]
+        self.keys = [np.array(sorted(w), np.uint64) for w in self.weights]
+        anchors: dict[int, list[int]] = {}
+        for k, weight in enumerate(self.weights):
+            left = (1 - LEAST) * self.total_weight[k] + 1e-9
+            for s in sorted(weight, key=lambda s: (-weight[s], s)):  # noqa: B023
+                anchors.setdefault(s, []).append(k)
+                left -= weight[s]
+                if left < 0:
+                    break
+        self.anchors = np.array(sorted(anchors), np.uint64)
+        self.holders = [anchors[s] for s in self.anchors.tolist()]
+        self.some = np.zeros(1 << 20, bool)
+        self.some[(self.anchors >> np.uint64(44)).astype(np.int64)] = True
 
     def near(self, prints: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(windows, items of class k) of all fingerprints within the radius."""
@@ -122,6 +140,65 @@ class Index:
         every = sum(mine.values()) + sum(item.values()) - both
         return both / every if every else 0.0
 
+    def anchored(self, words: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, float, int]]:
+        """(document, item's place, similarity, first word) of the best window by anchors, at ``LEAST`` or more."""
+        if len(words) < SHINGLE or not len(self.anchors):
+            return
+        seen = vec.shingles(words, SHINGLE)
+        at = np.flatnonzero(self.some[(seen >> np.uint64(44)).astype(np.int64)] & (doc[: len(seen)] == doc[SHINGLE - 1 :]))
+        key = np.minimum(np.searchsorted(self.anchors, seen[at]), len(self.anchors) - 1)
+        good = self.anchors[key] == seen[at]
+        held: dict[tuple[int, int], list[int]] = {}
+        for p, k in zip(at[good].tolist(), key[good].tolist(), strict=True):
+            for i in self.holders[k]:
+                held.setdefault((int(doc[p]), i), []).append(p)
+        for (d, i), places in held.items():
+            first, past = int(np.searchsorted(doc, d, "left")), int(np.searchsorted(doc, d, "right")) - SHINGLE + 1
+            m = len(self.items[i][1]) - SHINGLE + 1
+            best: tuple[float, int] = (0.0, 0)
+            runs: list[list[int]] = []  # of first shingles of windows that hold an anchor
+            for p in places:
+                if runs and p - m <= runs[-1][1]:
+                    runs[-1][1] = p
+                else:
+                    runs.append([p - m + 1, p])
+            for lo, hi in runs:
+                own = seen[max(first, lo) : min(past, hi + m)]
+                shared = np.unique(own[np.isin(own, self.keys[i])]).tolist()
+                if sum(self.weights[i][s] for s in shared) >= LEAST * self.total_weight[i] - 1e-9:
+                    best = max(best, self._slide(own.tolist(), max(first, lo), lo, hi, m, i), key=lambda x: x[0])
+            if best[0] >= LEAST - 1e-9:
+                w = max(first, best[1])
+                s = self.similarity(words[w : min(past + SHINGLE - 1, best[1] + m + SHINGLE - 1)], i)
+                if s >= LEAST - 1e-9:
+                    yield d, i, s, w
+
+    def _slide(self, own: list[int], start: int, lo: int, hi: int, m: int, i: int) -> tuple[float, int]:
+        """The best (similarity, first shingle) of item i and the windows of m shingles from lo to hi; ``own``
+        has the shingles from ``start`` on, places before and behind it are empty."""
+        item, count, both, mine, best = self.weights[i], dict[int, int](), 0.0, 0.0, (0.0, lo)
+
+        def change(p: int, by: int) -> None:
+            nonlocal both, mine
+            if start <= p < start + len(own):
+                s = own[p - start]
+                one = self.idf.get(s, self.other)
+                mine += by * one
+                if s in item:
+                    n = count.get(s, 0)
+                    count[s] = n + by
+                    both += min((n + by) * one, item[s]) - min(n * one, item[s])
+
+        for p in range(lo, lo + m - 1):
+            change(p, 1)
+        for w in range(lo, hi + 1):
+            change(w + m - 1, 1)
+            alike = both / (mine + self.total_weight[i] - both)
+            if alike > best[0] + 1e-12:
+                best = (alike, w)
+            change(w, -1)
+        return best
+
     def matches(self, words: np.ndarray, doc: np.ndarray) -> dict[tuple[int, int], tuple[float, int]]:
         """(document, item's place) -> (similarity, first word) of the best windows at ``LEAST`` or more.
 
@@ -138,8 +215,11 @@ class Index:
                     d = int(doc[w])
                     past = min(w + len(self.items[i][1]), int(np.searchsorted(doc, d, "right")))
                     s = self.similarity(words[w:past], int(i))
-                    if s >= LEAST and s > found.get((d, int(i)), (0.0, 0))[0]:
+                    if s >= LEAST - 1e-9 and s > found.get((d, int(i)), (0.0, 0))[0]:
                         found[d, int(i)] = (s, int(w))
+        for d, i, s, w in self.anchored(words, doc):
+            if s > found.get((d, i), (0.0, 0))[0]:
+                found[d, i] = (s, w)
         return found
 
 

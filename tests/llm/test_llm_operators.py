@@ -396,6 +396,51 @@ def test_fingerprints_are_sliding():
         assert decontaminate.fingerprints(words, size).tolist() == [int(x) for x in slow]
 
 
+def near_copies():
+    """(item, document) by kind of change, all at 0.8 or more over windows as long as the item, cut at the document's ends."""
+    rng = np.random.default_rng(4)
+    say = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    for n in (15, 31, 44, 60, 300, 600):
+        for _ in range(5):
+            item, k = say(n), (n - 4) // 9
+            mid = n // 2
+            yield n, "head replaced", item, np.concatenate([say(70), say(k), item[k:], say(70)])
+            yield n, "head missing", item, np.concatenate([say(70), item[k:], say(70)])
+            yield n, "head cut by the start", item, np.concatenate([item[n // 6 :], say(70)])
+            yield n, "tail cut by the end", item, np.concatenate([say(70), item[: n - n // 6]])
+            yield n, "tail replaced", item, np.concatenate([say(70), item[: n - k], say(70)])
+            yield n, "words put in", item, np.concatenate([say(70), item[:mid], say(max(1, n // 20)), item[mid:], say(70)])
+
+
+def best_window(item, text):
+    """The best Jaccard of five-word shingles of item-long windows of text, cut at its ends (shingles all weigh the same)."""
+    sets = lambda w: Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4))
+    item, text, best = item.tolist(), text.tolist(), 0.0
+    whole = sets(item)
+    for w in range(5 - len(item), len(text) - 4):
+        mine = sets(text[max(0, w) : w + len(item)])
+        both = (mine & whole).total()
+        best = max(best, both / (mine.total() + whole.total() - both))
+    return best
+
+
+def test_all_near_copies_are_found():
+    missed = 0
+    for n, what, item, text in near_copies():
+        index = decontaminate.Index([(1, item.view(np.int64).tolist(), [1] * (n - 4))], 1)
+        other = np.random.default_rng(n).integers(0, 2**63, 50).astype(np.uint64)
+        words, doc = np.concatenate([other, text, other]), np.repeat([0, 1, 2], [50, len(text), 50])
+        found = index.matches(words, doc)
+        if n <= 60:  # by brute force
+            best = best_window(item, text)
+            assert ((1, 0) in found) == (best >= 0.8 - 1e-12), (n, what, best)
+            assert not found or abs(found[1, 0][0] - best) < 1e-9
+        elif what != "words put in":
+            missed += (1, 0) not in found
+        assert set(found) <= {(1, 0)}
+    assert not missed
+
+
 def test_decontamination(spark):
     rng = random.Random(9)
     vocabulary = [f"w{i}" for i in range(3000)]

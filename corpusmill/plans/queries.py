@@ -194,8 +194,8 @@ def near_dup_prefilter_pairs(spark, d):
 
 @registered()
 def near_dup_greedy(spark, d):
-    rows = _first_line(spark, d)
-    return dedup.near_duplicates(rows, F.col("text"), F.col("block"), F.col("doc_id"), 0.94).select("doc_id", "status")
+    rows = table(spark, d, "documents").select("doc_id", "lang", normal(F.col("text")).alias("text"))
+    return dedup.near_duplicates(rows, F.col("text"), F.col("lang"), F.col("doc_id"), 0.94).select("doc_id", "status")
 
 
 def _labelled(spark, d):

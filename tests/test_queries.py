@@ -53,3 +53,11 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(engine.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_near_copies_with_other_first_lines_meet(spark, tmp_path):
+    body = " ".join(f"word{i}" for i in range(25))
+    rows = [(1, "en", f"One\n{body}"), (2, "en", f"Two\n{body}"), (3, "de", f"Two\n{body}"), (4, "en", f"{body} end"), (5, "en", f"One\n{body}"), (6, "en", body[::-1])]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["status"] for r in engine.QUERIES["near_dup_greedy"](spark, str(tmp_path)).collect()}
+    assert got == {1: "kept", 2: "near_duplicate", 3: "kept", 4: "near_duplicate", 5: "exact_duplicate", 6: "kept"}

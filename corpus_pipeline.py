@@ -47,7 +47,7 @@ STAGES = [
     ("byte_bpe", byte_bpe_stage),
 ]
 
-#: The fitted models and the tokens are beyond SQL; tests hold the stages against brute-force versions.
+#: The fitted models and the tokens are beyond SQL; tests cover the stages' operators, not the stages together.
 ORACLE_SQL = None
 
 

@@ -19,7 +19,9 @@ also those that stick out of the document's start or end, there cut, so none at
 Items go to the executors in blocks of ``ITEM_BLOCK``, each block one pass over the documents.
 
 Defined results: null and empty texts hold no item.  Items of fewer than five words are too short to tell
-and match nothing; repeated items (same id) count once, and equal items with other ids are all reported.
+and match nothing; items equal in id and words count once, and equal items with other ids are all reported, as
+are all texts of one id and items without an id (``op9_decontamination`` counts an id once, and lists null last,
+once, for all hits without an id).
 Repeated documents are judged one by one.
 """
 
@@ -236,12 +238,13 @@ def item_rows(benchmark: DataFrame, text: str = "text", key: str = "item_id") ->
                     shingles.append(vec.shingles(own, SHINGLE).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(words, pa.list_(pa.int64())), pa.array(shingles, pa.list_(pa.int64()))], names=["item_id", "words", "shingles"])
 
-    rows = benchmark.select(F.col(f"`{key}`").cast("long").alias("item_id"), F.col(f"`{text}`").cast("string").alias("text")).where("item_id is not null").mapInArrow(run, "item_id long, words array<long>, shingles array<long>")
-    rows = rows.where(F.size("words") >= SHINGLE).dropDuplicates(["item_id"])
-    each = rows.select("item_id", F.posexplode("shingles").alias("at", "s"))
-    df = each.groupBy("s").agg(F.count_distinct("item_id").alias("df"))
-    listed = each.join(df, "s").groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "df"))), lambda x: x["df"]).alias("df"))
-    return rows.join(listed, "item_id").select("item_id", "words", "df")
+    rows = benchmark.select(F.col(f"`{key}`").cast("long").alias("item_id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, "item_id long, words array<long>, shingles array<long>")
+    # a passage is an id with its words; the id may be null
+    rows = rows.where(F.size("words") >= SHINGLE).withColumn("passage", F.xxhash64(F.col("item_id").isNull(), "item_id", "words")).dropDuplicates(["passage"])
+    each = rows.select("passage", F.posexplode("shingles").alias("at", "s"))
+    df = each.groupBy("s").agg(F.count_distinct("passage").alias("df"))
+    listed = each.join(df, "s").groupBy("passage").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "df"))), lambda x: x["df"]).alias("df"))
+    return rows.join(listed, "passage").select("item_id", "words", "df")
 
 
 _HITS = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("first_word", T.LongType())])
@@ -311,4 +314,5 @@ def op9_decontamination(spark, sf_dir: str) -> DataFrame:
     """Each document's benchmark items."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.select("doc_id", F.size("hits").cast("long").alias("n_items"), F.array_sort(F.transform("hits", lambda x: x["item_id"])).alias("items"), F.array_max(F.transform("hits", lambda x: x["similarity"])).alias("similarity"))
+    items = F.array_sort(F.array_distinct(F.transform("hits", lambda x: x["item_id"])))
+    return found.select("doc_id", F.size(items).cast("long").alias("n_items"), items.alias("items"), F.array_max(F.transform("hits", lambda x: x["similarity"])).alias("similarity"))

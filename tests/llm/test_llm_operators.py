@@ -466,6 +466,15 @@ def test_decontamination(spark):
     assert decontaminate.clean(df, bench.limit(0)).count() == len(texts) and decontaminate.find(df.limit(0), bench).count() == 0
 
 
+def test_items_of_one_id_or_none_are_all_searched(spark):
+    said = [" ".join(f"{c}{i}" for i in range(20)) for c in "abcde"]
+    bench = spark.createDataFrame([(1, said[0]), (1, said[1]), (1, said[1]), (None, said[2]), (None, said[3])], "item_id long, text string")
+    df = rows_of(spark, said)
+    got = {r["doc_id"]: [h["item_id"] for h in r["hits"]] for r in decontaminate.find(df, bench).collect()}
+    assert got == {0: [1], 1: [1], 2: [None], 3: [None], 4: []}
+    assert [r["doc_id"] for r in decontaminate.clean(df, bench).collect()] == [4]
+
+
 # ---- 10
 @pytest.mark.parametrize("max_bits", [1 << 26, 8])
 def test_cascade_is_exact(spark, max_bits):

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
@@ -13,13 +12,20 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where it is unset (as in tests) a folder of our own."""
+    """The cluster's spark.checkpoint.dir, or the session's checkpoint folder.
+
+    Where neither is set, a folder of our own does on one machine (as in tests); executors elsewhere could not
+    read it, so on a cluster that raises."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="corpusmill-")
-        if not known.isDefined():
+        if known.isDefined():
+            folder = known.get()
+        elif spark.sparkContext.master.split("[")[0] == "local":
+            folder = tempfile.mkdtemp(prefix="corpusmill-")
             spark.sparkContext.setCheckpointDir(folder)
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return folder.rstrip("/")
 
 
@@ -41,14 +47,27 @@ def _clean() -> None:
 atexit.register(_clean)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it again.
+#: With this, Spark removes the shuffles of an execution as it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
-    A lost executor costs nothing that was written; the table goes when this process ends.
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder (in folders by column ``by``) and read it again.
+
+    A lost executor costs nothing that was written; the table goes when this process ends.  The shuffles
+    behind it go as soon as it is written, as nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     _written.append((spark, path))
     table = spark.read.schema(df.schema).parquet(path)
     table.written_to = path
@@ -56,14 +75,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def dropped(*frames: DataFrame) -> None:
-    """Remove tables made by ``written`` that no later step reads, and let go of the shuffles behind them.
-
-    Spark keeps shuffle files until the driver's garbage is collected, so a long chain of steps would pile
-    them up on the executors' disks."""
+    """Remove tables made by ``written`` that no later step reads."""
     for df in frames:
         if (path := getattr(df, "written_to", None)) and (df.sparkSession, path) in _written:
             _written.remove((df.sparkSession, path))
             _remove(df.sparkSession, path)
-    gc.collect()
-    if frames:
-        frames[0].sparkSession.sparkContext._jvm.System.gc()

@@ -1,15 +1,23 @@
 """Main text of web pages by equivalence-class template deduction (after Arasu and Garcia-Molina, 2003).
 
 Pages of a host are dealt into groups of about ``GROUP`` pages.  In a group, tags are tokens told apart by
-their role (name, class, id and the containers they stand in).  Roles with the same occurrence vector over the
-group's distinct pages form an equivalence class; a class is valid if it is frequent enough and its roles stand
-in the same order on every page.  The class that occurs once a page is the template's spine; in each of its
-slots classes are formed again, so the others nest there, told apart by their occurrence where a role occurs
-equally often on all pages that have it.  A block of text belongs to the slot behind the last tag before it.
-Slots that hold the same block wherever they occur, on ``MIN_ALIKE`` pages or more, are template and left out.
-So are the parts that their names give away, as a menu varies with the page like a text does: menu, header,
-footer, sidebar, notice, advert, form, script, style or comment section.  Of the other slots those in an
-article or main part are the text, and on a page without text in such a part, all of them.
+their role (name, class, id and the containers they stand in; what a class or an id says is never read, only
+whether it is the same).  Roles with the same occurrence vector over the group's distinct pages form an
+equivalence class; a class is valid if it is frequent enough and its roles stand in the same order on every page.
+The class that occurs once a page is the template's spine; in each of its slots classes are formed again, so the
+others nest there, told apart by their occurrence where a role occurs equally often on all pages that have it.
+A block of text belongs to the slot behind the last tag before it.
+
+The template decides which slots are text, by how their content varies over the pages:
+
+* a slot that holds the same block wherever it occurs, on ``MIN_ALIKE`` pages or more, is template;
+* on pages without an article or main element, also a slot most of whose blocks stand in it on another page too
+  (a pool of adverts or notices), and one whose text stands in links on all its pages (a menu).
+
+Besides, the parts that HTML and ARIA themselves define as no text are left out: nav, footer, aside, form, menu,
+dialog, hidden parts, landmark roles of such parts, a header outside an article, and reader comments (an article
+inside an article, or the comment role).  Of the other slots those in an article or main element are the text,
+and on a page without text in such a part, all of them.
 
 A class is read off the tags alone: words that many pages share may be an article's own, so they never make
 a template.  Text of a slot is cut into blocks at block-level tags; in a block references are decoded and
@@ -17,8 +25,12 @@ white space becomes one space; blocks are joined by a line feed.
 
 Defined results: null or empty html gives an empty text.  A null url is the host without a name.  Equal pages
 count once in the deduction and each get their text.  A page whose text would be all template keeps it (its
-group then shows copies, not a template).  Unclosed tags, comments and quotes are read as browsers
-do, in time linear in the page.
+group then shows copies, not a template); one whose article holds nothing but articles keeps those, and one whose
+article is empty has no text.  Groups of
+fewer than ``MIN_ALIKE`` distinct pages show no template, so there HTML's own parts decide alone.  A comment section that
+no element or role marks, and that varies like a text, can't be told from one and stays.  Unclosed tags, comments
+and quotes are read as browsers do, in time linear in the page, however long it is.  An empty table gives an
+empty table; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -47,13 +59,8 @@ _BLOCK = frozenset(
 _CONTAINER = _BLOCK - frozenset("p h1 h2 h3 h4 h5 h6 hr li dd dt tr tbody tfoot thead caption pre".split())
 _LEFT_OUT = frozenset("nav footer aside form head menu dialog button label".split())
 _MAIN = frozenset("article main".split())
-_HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|nav\w*|menu|sidebar|side|footer|cookies?\w*|consent|gdpr|notices?|alert|popup|modal|"
-    r"newsletter|subscribe|share|sharing|social|comments?|respond|reply|replies|disqus|related|recommend\w*|breadcrumbs?|widget|login|signup|search|toolbar|pagination|pager|"
-    r"header|masthead|overlay|skip|copyright|legal|disclaimer)(?:$|[\s_-])",
-    re.I,
-)
-_MAIN_HINT = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|main|content)(?:[\s_-]?(?:body|content|text|main))?(?:$|[\s_-])", re.I)
+#: ARIA roles of parts that are no text.
+_LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar tablist dialog alertdialog alert status log timer comment".split())
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>")
 _ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
@@ -114,7 +121,9 @@ def _role(name: str, rest: str) -> str:
         return name
     found = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(rest)}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true":
-        return f"{name}!hidden"
+        return f"{name}!out"
+    if found.get("role", "").strip().lower() in _LEFT_OUT_ROLES or found.get("itemprop", "").strip().lower() == "comment":
+        name += "!out"
     marks = " ".join(re.sub(r"\d+", "0", found[k].strip()) for k in ("class", "id", "role", "itemprop") if found.get(k))
     return f"{name}.{marks}" if marks else name
 
@@ -124,6 +133,7 @@ class Page:
 
     def __init__(self, page: str):
         self.roles: list[tuple[str, tuple[str, ...]]] = []
+        self.has_main = False
         self.pieces: list[tuple[int, tuple[str, ...], str, bool]] = []  # (tags before, path, text or "\n" or " ", in a link)
         path: list[str] = []
         names: list[str] = []
@@ -140,6 +150,7 @@ class Page:
                 link = max(0, link + (1 if kind == "open" else -1))
             if kind == "open":
                 role = _role(name, rest)
+                self.has_main = self.has_main or name in _MAIN
                 self.roles.append((role, tuple(path)))
                 if (name in _CONTAINER or "." in role or "!" in role) and name not in _VOID:
                     path.append(role)
@@ -191,37 +202,31 @@ def template(pages: list[Page]) -> list[tuple[str, tuple[str, ...]]]:
 
 
 def _kind(path: tuple[str, ...]) -> str:
-    """out, main or open, by the template parts a slot stands in."""
-    inside = False
+    """out, main, reply or open, by the parts that a slot stands in."""
+    inside, articles = False, 0
     for role in path:
-        name, _, marks = role.partition(".")
-        if role.endswith("!hidden"):
-            return "out"
-        bare = name.partition("!")[0]
-        if bare in _LEFT_OUT or (bare == "header" and not inside):
-            return "out"
-        is_main = bare in _MAIN or (marks and bool(_MAIN_HINT.search(marks)))
-        if marks and not is_main and bare not in ("html", "body") and _HINT.search(marks):
-            return "out"
-        if marks and is_main and bare not in _MAIN and re.search(r"(?:^|[\s_-])(?:ads?|comments?|related|nav|menu|sidebar|footer|header)(?:$|[\s_-])", marks, re.I):
+        name, _, out = role.partition(".")[0].partition("!")
+        if out or name in _LEFT_OUT or (name == "header" and not inside):
             return "out"
-        inside = inside or is_main
-    return "main" if inside else "open"
+        articles += name == "article"
+        inside = inside or name in _MAIN
+    return "reply" if articles > 1 else "main" if inside else "open"
 
 
-def _blocks(page: Page, kind) -> list[tuple[int, str, str]]:
-    """(tags before, kind, text) of a page's blocks that are not left out by name."""
-    blocks, now, start, of = [], [], 0, ""
-    for at, path, piece, _ in [*page.pieces, (0, (), "\n", False)]:
+def _blocks(page: Page, kind) -> list[tuple[int, str, str, bool]]:
+    """(tags before, kind, text, whether all of it stands in links) of a page's blocks that HTML lets be text."""
+    blocks, now, start, of, linked = [], [], 0, "", True
+    for at, path, piece, link in [*page.pieces, (0, (), "\n", False)]:
         mine = "" if piece == "\n" else kind(path)
         if mine != of or not mine or mine == "out":
             text = " ".join("".join(now).split())
             if text and of != "out":
-                blocks.append((start, of, text))
-            now, of = [], mine
+                blocks.append((start, of, text, linked))
+            now, of, linked = [], mine, True
         if mine and mine != "out":
             start = at if not "".join(now).strip() else start
             now.append(piece)
+            linked = linked and (link or not piece.strip())
     return blocks
 
 
@@ -251,17 +256,25 @@ def slots(pages: list[Page]) -> list[list]:
     return out
 
 
-def constant(pages: list[Page], found: list[list[tuple[int, str, str]]], behind: list[list]) -> set:
-    """Slots that hold one and the same block wherever they occur, on enough pages."""
+def template_slots(found: list[list[tuple[int, str, str, bool]]], behind: list[list]) -> tuple[set, set]:
+    """(slots that hold one and the same block wherever they occur; slots outside of articles whose blocks come
+    back on other pages or stand in links), each on enough pages."""
     occur = Counter(s for mine in behind for s in mine if s is not None)
-    held, texts, on = Counter(), defaultdict(set), defaultdict(set)
+    held: Counter = Counter()
+    pages_of: dict = defaultdict(lambda: defaultdict(set))  # slot -> text -> pages
+    opened: dict = defaultdict(lambda: ([], []))  # slot -> texts, whether each is all links
     for i, blocks in enumerate(found):
-        for at, _, text in blocks:
+        for at, of, text, linked in blocks:
             if at and (s := behind[i][at - 1]) is not None:
                 held[s] += 1
-                texts[s].add(text)
-                on[s].add(i)
-    return {s for s, n in held.items() if len(texts[s]) == 1 and n == occur[s] and len(on[s]) >= MIN_ALIKE}
+                pages_of[s][text].add(i)
+                if of == "open":
+                    opened[s][0].append(text)
+                    opened[s][1].append(linked)
+    wide = {s for s, texts in pages_of.items() if len(set().union(*texts.values())) >= MIN_ALIKE}
+    constant = {s for s in wide if len(pages_of[s]) == 1 and held[s] == occur[s]}
+    pool = {s for s, (texts, linked) in opened.items() if s in wide and (2 * sum(len(pages_of[s][t]) > 1 for t in texts) > len(texts) or all(linked))}
+    return constant, pool
 
 
 def extract(htmls: list[str]) -> list[str]:
@@ -277,13 +290,15 @@ def extract(htmls: list[str]) -> list[str]:
 
     found = [_blocks(p, kind) for p in pages]
     behind = slots(pages)
-    same = constant(pages, found, behind)
+    constant, pool = template_slots(found, behind)
     texts = {}
-    for h, blocks, mine in zip(known, found, behind, strict=True):
-        varying = [(of, text) for at, of, text in blocks if not at or mine[at - 1] not in same]
-        every = [(of, text) for _, of, text in blocks]
-        kept = next((k for k in ([t for of, t in some if of == part] for part in ("main", "open") for some in (varying, every)) if k), [])
-        texts[h] = "\n".join(kept)
+    for (h, page), blocks, mine in zip(known.items(), found, behind, strict=True):
+        slot = [mine[at - 1] if at else None for at, *_ in blocks]
+        has = {of for _, of, *_ in blocks}
+        part = "main" if "main" in has else "reply" if "reply" in has else "main" if page.has_main else "open"
+        every = [(text, s) for (_, of, text, _), s in zip(blocks, slot, strict=True) if of == part]
+        varying = [t for t, s in every if s not in constant and not (part == "open" and s in pool)]
+        texts[h] = "\n".join(varying or [t for t, _ in every])
     return [texts[h] for h in htmls]
 
 

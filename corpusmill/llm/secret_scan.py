@@ -1,15 +1,18 @@
 """Secret scans over a content-addressed ledger, in DataFrame operations only.
 
-Every version of every path is addressed by the SHA-256 of its text.  The ledger holds one row per blob: the
-rule versions that have seen it and what they found.  A scan looks at each distinct blob once, with just those
-rule versions that the ledger doesn't have for it, and joins findings back to all paths that hold the blob.
+Every version of every path is addressed by the SHA-256 of its text.  The ledger holds one row per blob, with or
+without findings: the rule versions that have seen it and what they found.  A scan looks at each distinct blob
+once, with just those rule versions that the ledger doesn't have for it, and joins findings back to all paths
+that hold the blob.  A rule's new version takes the place of the old one's findings, blob by blob as it sees them.
 
 Spans come from two native functions: the matches of a rule and the pieces between them; running sums of
 their lengths are the places.  Rules match leftmost and non-overlapping, matches that are too short go.
 
 Defined results: a null text is the empty text, which has no findings.  Repeated rows share a blob and each
-get its findings.  A blob held by a third of all paths is scanned once; joining back to its paths is a join
-with one row per blob, whose large side Spark may split.
+get its findings; findings that start together are listed in the order of the rules.  A text is scanned whole,
+however long.  An empty table leaves the ledger as it is, or gives an empty one.  Columns of the paths pass
+through under any name but that of the findings' column, which is replaced.  A blob held by a third of all paths
+is scanned once; joining back to its paths is a join with one row per blob, whose large side Spark may split.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.llm.names import free_names
 from corpusmill.llm.store import written
 
 
@@ -53,7 +57,7 @@ RULES = (
 #: Necessary for any match: a blob without this is not looked at again.
 QUICK = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]|[0-9a-f]{24}|-----BEGIN |eyJ|gh[pousr]_"""
 
-FOUND = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
+FOUND = "array<struct<start:bigint,end:bigint,kind:string,version:int>>"
 
 
 def blob(text: Column) -> Column:
@@ -61,30 +65,30 @@ def blob(text: Column) -> Column:
 
 
 def _scan(blobs: DataFrame, rules: tuple[Rule, ...], quick: str | None) -> DataFrame:
-    """(blob, found) of the blobs with findings; ``blobs`` has blob, text and todo (names of unseen rules)."""
-    text = F.col("text")
-    parts = []
+    """(blob, todo, fresh) of all ``blobs``, which have blob, text and todo (names of unseen rules)."""
+    text, parts = F.col("text"), []
+    none = F.array().cast("array<struct<rank:int,i:int,gap:bigint,size:bigint,judged:int>>")
     for rank, rule in enumerate(rules):
         pattern = F.lit(rule.pattern)
-        todo = F.array_contains("todo", rule.name)
         zipped = F.arrays_zip(
             F.split(text, rule.pattern, -1).alias("p"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("m"), F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("g")
         )
         # x.m of the last piece is null: it has no match behind it
         own = F.lit(rank).alias("rank")
         made = F.transform(zipped, lambda x, i: F.struct(own, i.alias("i"), F.length(x["p"]).cast("long").alias("gap"), F.length(x["m"]).cast("long").alias("size"), F.length(x["g"]).alias("judged")))  # noqa: B023
-        parts.append(F.when(todo, made).otherwise(F.array().cast("array<struct<rank:int,i:int,gap:bigint,size:bigint,judged:int>>")))
-    hits = blobs.where(text.rlike(quick)) if quick else blobs
-    rows = hits.select("blob", F.explode(F.concat(*parts)).alias("x")).select("blob", "x.*").where("size is not null")
+        made = F.filter(made, lambda x: x["size"].isNotNull())
+        parts.append(F.when(F.array_contains("todo", rule.name), made).otherwise(none))
+    every = F.concat(*parts)
+    rows = blobs.select("blob", "todo", F.explode_outer(F.when(text.rlike(quick), every).otherwise(none) if quick else every).alias("x")).select("blob", "todo", "x.*")
     before = Window.partitionBy("blob", "rank").orderBy("i")
     end = F.sum(F.col("gap") + F.col("size")).over(before.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    spans = rows.withColumn("end", end)
-    good = F.lit(False)
+    good, kind, version = F.lit(False), F.lit(None).cast("string"), F.lit(None).cast("int")
     for rank, rule in enumerate(rules):
-        good = good | ((F.col("rank") == rank) & (F.col("judged") >= rule.least))
-    kind = F.element_at(F.lit([r.kind for r in rules]), F.col("rank") + 1)
-    spans = spans.where(good).select("blob", F.struct((F.col("end") - F.col("size")).alias("start"), "rank", "end", kind.alias("kind")).alias("x"))
-    return spans.groupBy("blob").agg(F.array_sort(F.collect_list("x")).alias("found"))
+        mine = F.col("rank") == rank
+        good, kind, version = good | (mine & (F.col("judged") >= rule.least)), F.when(mine, rule.kind).otherwise(kind), F.when(mine, rule.version).otherwise(version)
+    span = F.struct((F.col("end") - F.col("size")).alias("start"), "end", kind.alias("kind"), version.alias("version"))
+    # a blob without matches has one row without a span, which the list leaves out
+    return rows.withColumn("end", end).groupBy("blob").agg(F.first("todo").alias("todo"), F.collect_list(F.when(good, span)).alias("fresh"))
 
 
 def scan(history: DataFrame, ledger: DataFrame | None = None, text: str = "text", rules: tuple[Rule, ...] = RULES, quick: str | None = QUICK) -> DataFrame:
@@ -94,31 +98,45 @@ def scan(history: DataFrame, ledger: DataFrame | None = None, text: str = "text"
     holds are not scanned again.  ``quick`` is a pattern that any match needs; None with rules of one's own.
     """
     names = F.lit([r.name for r in rules])
-    blobs = history.select(blob(F.col(f"`{text}`")).alias("blob"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")).dropDuplicates(["blob"])
-    nothing = F.array().cast(FOUND)
+    texts = history.select(blob(F.col(f"`{text}`")).alias("blob"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     if ledger is None:
-        blobs = blobs.withColumn("todo", names)
-        fresh = _scan(blobs, rules, quick)
-        return fresh.select("blob", names.alias("rules"), "found")
-    old = ledger.select("blob", F.col("rules").alias("old_rules"), F.col("found").alias("old_found"))
-    todo = blobs.join(old, "blob", "left").withColumn("todo", F.array_except(names, F.coalesce("old_rules", F.array().cast("array<string>")))).where(F.size("todo") > 0)
-    fresh = _scan(todo, rules, quick)
-    both = todo.select("blob", "todo").join(fresh, "blob", "left").select("blob", F.col("todo").alias("new_rules"), F.coalesce("found", nothing).alias("new_found"))
-    merged = ledger.select("blob", "rules", "found").join(both, "blob", "full")
-    return merged.select(
+        fresh = _scan(texts.dropDuplicates(["blob"]).withColumn("todo", names), rules, quick)
+        return fresh.select("blob", F.col("todo").alias("rules"), F.col("fresh").cast(FOUND).alias("found"))
+    todo = written(unseen(history, ledger, text, rules), "secret-todo")
+    if todo.isEmpty():
+        return ledger.select("blob", "rules", "found")
+    fresh = _scan(texts.join(todo, "blob").dropDuplicates(["blob"]), rules, quick)
+    both = ledger.select("blob", "rules", "found").join(fresh, "blob", "full")
+    kinds = lambda names: F.transform(names, lambda x: F.substring_index(x, "@", 1))
+    nothing = F.array().cast("array<string>")
+    now = kinds(F.coalesce("todo", nothing))  # kinds whose findings are new
+    return both.select(
         "blob",
-        F.array_union(F.coalesce("rules", F.array().cast("array<string>")), F.coalesce("new_rules", F.array().cast("array<string>"))).alias("rules"),
-        F.array_sort(F.concat(F.coalesce("found", nothing), F.coalesce("new_found", nothing))).alias("found"),
+        F.concat(F.filter(F.coalesce("rules", nothing), lambda x: ~F.array_contains(now, F.substring_index(x, "@", 1))), F.coalesce("todo", nothing)).alias("rules"),
+        F.concat(F.filter(F.coalesce("found", F.array().cast(FOUND)), lambda x: ~F.array_contains(now, x["kind"])), F.coalesce("fresh", F.array()).cast(FOUND)).alias("found"),
     )
 
 
-def joined_back(paths: DataFrame, ledger: DataFrame, text: str = "text", found: str = "found") -> DataFrame:
-    """``paths`` without the text, each row with the findings of the blob it holds."""
+def unseen(history: DataFrame, ledger: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob, todo): the blobs of ``history`` that some of ``rules`` have not seen, and the names of those."""
+    blobs = history.select(blob(F.col(f"`{text}`")).alias("blob")).distinct()
+    known = ledger.select("blob", "rules")
+    todo = F.array_except(F.lit([r.name for r in rules]), F.coalesce("rules", F.array().cast("array<string>")))
+    return blobs.join(known, "blob", "left").select("blob", todo.alias("todo")).where(F.size("todo") > 0)
+
+
+def joined_back(paths: DataFrame, ledger: DataFrame, text: str = "text", found: str = "found", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``paths`` without the text, each row with what ``rules`` found in the blob it holds: structs of start,
+    rank (place of the rule), end and kind, sorted."""
     rest = [f"`{c}`" for c in paths.columns if c not in (text, found)]
-    addressed = paths.select(*rest, blob(F.col(f"`{text}`")).alias("_blob"))
-    known = ledger.where(F.size("found") > 0).select(F.col("blob").alias("_key"), F.col("found").alias("_found"))
-    joined = addressed.join(known, F.col("_blob") == F.col("_key"), "left")
-    return joined.select(*rest, F.coalesce("_found", F.array().cast(FOUND)).alias(found))
+    address, key, spans = free_names([*paths.columns, found], 3)
+    addressed = paths.select(*rest, blob(F.col(f"`{text}`")).alias(address))
+    names = F.lit([r.name for r in rules])
+    place = lambda x: F.array_position(names, F.concat(x["kind"], F.lit("@"), x["version"].cast("string"))).cast("int") - 1
+    own = F.filter(F.transform("found", lambda x: F.struct(x["start"].alias("start"), place(x).alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"))), lambda x: x["rank"] >= 0)
+    known = ledger.where(F.size("found") > 0).select(F.col("blob").alias(key), F.array_sort(own).alias(spans))
+    joined = addressed.join(known, F.col(address) == F.col(key), "left")
+    return joined.select(*rest, F.coalesce(spans, F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>")).alias(found))
 
 
 def listed(found: Column) -> Column:
@@ -126,9 +144,9 @@ def listed(found: Column) -> Column:
 
 
 def op2_secret_scans(spark, sf_dir: str) -> DataFrame:
-    """Each document's secrets, scanned by blob."""
+    """Each document's secrets, scanned by blob.  A second scan meets the ledger and finds no pair unseen."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    ledger = written(scan(docs), "secret-ledger")
+    ledger = scan(docs, written(scan(docs), "secret-ledger"))
     rows = joined_back(docs, ledger)
     base = F.filter("found", lambda x: x["rank"] < len(BASE))
     ranks = F.transform("found", lambda x: x["rank"])

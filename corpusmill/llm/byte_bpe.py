@@ -11,7 +11,9 @@ never taken by the white-space alternatives when something follows it, and what
 not looked at.  Where a text has no such place, the window grows to its ends.
 
 Decoding concatenates the tokens' bytes up the same tree.  Defined results: a null or empty text has no
-tokens.  Ids outside the vocabulary raise.  Memory follows the longest text (4 bytes a token).
+tokens.  Ids outside the vocabulary raise.  Texts of any length go through the same tree; memory follows the
+longest (4 bytes a token).  Repeated rows are encoded one by one, an empty table gives an empty table; columns
+of the names that are added are replaced, all others pass through.
 """
 
 from __future__ import annotations
@@ -21,13 +23,12 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Texts of up to so many characters are encoded in one go, ids of up to so many are decoded in one go.
-LEAF = 1 << 14
+#: Characters of a leaf of the tree, and ids of one when decoding.
+LEAF = 256
 
 
 def default_path() -> str:
@@ -44,18 +45,19 @@ class TreeCodec:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.leaf = tiktoken.Encoding("own", pat_str=pattern or public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
-        self.sizes[list(ranks.values())] = [len(t) for t in ranks]
+        self.sizes = [0] * (max(ranks.values()) + 1)
+        for token, i in ranks.items():
+            self.sizes[i] = len(token)
         self.decimal = [str(i) for i in range(len(self.sizes))]
 
     # ---- encoding
     def encode(self, text: str, leaf: int = LEAF) -> list[int]:
         # lone surrogates can't occur: Spark's strings are UTF-8
-        return self._encode(text, 0, len(text), leaf).tolist() if len(text) > leaf else self.leaf.encode_ordinary(text)
+        return self._encode(text, 0, len(text), leaf)
 
-    def _encode(self, text: str, a: int, b: int, leaf: int) -> np.ndarray:
+    def _encode(self, text: str, a: int, b: int, leaf: int) -> list[int]:
         if b - a <= leaf:
-            return np.array(self.leaf.encode_ordinary(text[a:b]), np.int32)
+            return self.leaf.encode_ordinary(text[a:b])
         m = (a + b) // 2
         return self._join(text, a, m, b, self._encode(text, a, m, leaf), self._encode(text, m, b, leaf))
 
@@ -63,9 +65,9 @@ class TreeCodec:
     def stable(text: str, i: int) -> bool:
         return 0 < i < len(text) - 1 and text[i] == " " and not text[i - 1].isspace() and not text[i + 1].isspace()
 
-    def _join(self, text: str, a: int, m: int, b: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        if not len(left) or not len(right):
-            return left if len(left) else right
+    def _join(self, text: str, a: int, m: int, b: int, left: list[int], right: list[int]) -> list[int]:
+        if not left or not right:
+            return left or right
         lo = hi = m
         while lo > a and not (lo < m - 1 and self.stable(text, lo)):  # both neighbours were seen by the left part
             lo -= 1
@@ -73,31 +75,33 @@ class TreeCodec:
         while hi < b and not (hi > m and hi < b - 1 and self.stable(text, hi)):
             hi += 1
         middle = self.leaf.encode_ordinary(text[lo:hi])
-        keep_left, keep_right = self._before(left, len(text[lo:m].encode())), self._after(right, len(text[m:hi].encode()))
-        return np.concatenate([keep_left, np.array(middle, np.int32), keep_right])
-
-    def _before(self, ids: np.ndarray, n_bytes: int) -> np.ndarray:
-        """``ids`` without the last tokens that make up exactly ``n_bytes``."""
+        past, first = self._before(left, len(text[lo:m].encode())), self._after(right, len(text[m:hi].encode()))
+        del left[past:]
+        left += middle
+        left += right[first:]
+        return left
+
+    def _before(self, ids: list[int], n_bytes: int) -> int:
+        """How many of ``ids`` are left without the last tokens that make up exactly ``n_bytes``."""
         k, left = len(ids), n_bytes
         while left > 0:
             k -= 1
-            left -= int(self.sizes[ids[k]])
+            left -= self.sizes[ids[k]]
         assert left == 0, "a window's edge is inside a token"
-        return ids[:k]
+        return k
 
-    def _after(self, ids: np.ndarray, n_bytes: int) -> np.ndarray:
+    def _after(self, ids: list[int], n_bytes: int) -> int:
+        """How many of ``ids`` make up exactly the first ``n_bytes``."""
         k, left = 0, n_bytes
         while left > 0:
-            left -= int(self.sizes[ids[k]])
+            left -= self.sizes[ids[k]]
             k += 1
         assert left == 0, "a window's edge is inside a token"
-        return ids[k:]
+        return k
 
     # ---- decoding
     def decode(self, ids: list[int], leaf: int = LEAF) -> bytes:
-        if len(ids) <= leaf:
-            return self.leaf.decode_bytes(ids)
-        parts = [self.leaf.decode_bytes(ids[i : i + leaf]) for i in range(0, len(ids), leaf)]
+        parts = [self.leaf.decode_bytes(ids[i : i + leaf]) for i in range(0, len(ids), leaf)] or [b""]
         while len(parts) > 1:
             parts = [b"".join(parts[i : i + 2]) for i in range(0, len(parts), 2)]
         return parts[0]

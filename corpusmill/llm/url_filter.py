@@ -4,13 +4,17 @@ The cascade gives exact membership in a list without a join.  Level 1 is a Bloom
 level 2 one of those other keys of the corpus that pass level 1; level 3 one of the listed keys that pass
 level 2, and so on until no key of the corpus is left over.  A key is judged by the first level it fails.
 This is exact for every key of the universe that the cascade was built over, which is all keys there are.
+While it is built, only keys that pass level 1 are ever gathered: the listed ones and few others.
 
 A level is an array of 64-bit words, built by a grouped bit-or (never more rows than words, whatever is
-listed) and read as a scalar subquery.  Levels of more than ``MAX_BITS`` bits are not sent to the executors:
-membership is then a semi-join, with the same result.
+listed) and read as a scalar subquery.  Keys fall into ranges by hash, as many as it takes for a level of a
+range to have ``RANGE_BITS`` bits (8 MB) at most; each range has a cascade of its own.  With more ranges than one the
+rows are written by range and marked range by range, so what is sent at once is bounded whatever is listed.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and is allowed.
-Repeated rows are judged one by one.
+A url of any length is read whole.  Rules of equal length that fit: the later one in the list wins.  Repeated rows
+are judged one by one; an empty table gives an empty table, an empty list lists nothing.  Columns named host, path,
+rule, listed or verdict are replaced; all others pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,9 +25,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.store import written
+from corpusmill.llm.names import free_names
+from corpusmill.llm.store import dropped, written
 
-BITS_PER_KEY, HASHES, MAX_BITS = 10, 4, 1 << 26
+BITS_PER_KEY, HASHES, RANGE_BITS = 10, 4, 1 << 26
 
 
 @dataclass(frozen=True)
@@ -82,23 +87,20 @@ def _passes(key: Column, words: Column, level: int, bits: int) -> Column:
     return reduce(lambda a, b: a & b, tests)
 
 
-class Cascade:
-    """Exact membership in ``listed`` (column key) for all keys of ``universe`` (column key)."""
+class _Levels:
+    """The cascade of one range of keys: ``listed`` and ``universe`` (column key)."""
 
-    def __init__(self, listed: DataFrame, universe: DataFrame, max_bits: int = MAX_BITS):
-        every = written(universe.select("key").distinct().join(listed.select("key", F.lit(True).alias("on")).distinct(), "key", "left").select("key", F.coalesce("on", F.lit(False)).alias("on")), "url-keys")
+    def __init__(self, listed: DataFrame, universe: DataFrame, n: int):
         self.levels: list[tuple[Column, int]] = []
-        self.listed = None
-        inside, outside = every.where("on").select("key"), every.where("not on").select("key")
-        n = inside.count()
+        inside, outside = listed, universe
         while n:
-            if n * BITS_PER_KEY > max_bits:
-                self.listed = every.where("on").select("key")
-                break
             level = len(self.levels) + 1
             words, bits = _filter(inside, level, n)
             self.levels.append((words, bits))
-            inside, outside = written(outside.where(_passes(F.col("key"), words, level, bits)), "url-over"), inside
+            over = outside.where(_passes(F.col("key"), words, level, bits))
+            if level == 1:  # the universe holds listed keys too
+                over = over.select("key", F.lit(False).alias("on")).unionByName(listed.select("key", F.lit(True).alias("on"))).groupBy("key").agg(F.max("on").alias("on")).where("not on").select("key")
+            inside, outside = written(over, "url-over"), inside
             n = inside.count()
 
     def column(self, key: Column) -> Column:
@@ -108,24 +110,51 @@ class Cascade:
             found = F.when(_passes(key, words, level, bits), found).otherwise(F.lit(level % 2 == 0))
         return found
 
+
+class Cascade:
+    """Exact membership in ``listed`` (column key) for all keys of ``universe`` (column key)."""
+
+    def __init__(self, listed: DataFrame, universe: DataFrame, range_bits: int = RANGE_BITS):
+        listed = written(listed.select("key").where("key is not null").distinct(), "url-listed")
+        n, universe = listed.count(), universe.select("key").where("key is not null")
+        self.ranges = max(1, -(-n * BITS_PER_KEY * 5 // (4 * range_bits)))  # ranges are uneven by some percent
+        if self.ranges == 1:
+            self.parts = [_Levels(listed, universe, n)]
+            return
+        own = _range(F.col("key"), self.ranges).alias("range")
+        listed, universe = (written(df.select("key", own), "url-ranges", "range") for df in (listed, universe.distinct()))
+        self.parts = []
+        for r in range(self.ranges):
+            mine, others = (df.where(F.col("range") == r).select("key") for df in (listed, universe))
+            self.parts.append(_Levels(mine, others, mine.count()))
+
     def mark(self, df: DataFrame, key: str, name: str) -> DataFrame:
-        """``df`` with a boolean column ``name``: whether ``key`` is listed."""
-        if self.listed is None:
-            return df.withColumn(name, self.column(F.col(f"`{key}`")))
-        known = self.listed.select(F.col("key").alias("_key"), F.lit(True).alias("_on"))
-        return df.join(known, F.col(f"`{key}`") == F.col("_key"), "left").withColumn(name, F.coalesce("_on", F.lit(False))).drop("_key", "_on")
+        """``df`` with a boolean column ``name``: whether ``key`` is listed (a null is not)."""
+        listed = lambda part: F.coalesce(part.column(F.col(f"`{key}`")), F.lit(False))
+        if self.ranges == 1:
+            return df.withColumn(name, listed(self.parts[0]))
+        at = free_names([*df.columns, name], 1)[0]
+        by_range = written(df.withColumn(at, F.coalesce(_range(F.col(f"`{key}`"), self.ranges), F.lit(0))), "url-rows", at)
+        marked = [written(by_range.where(F.col(at) == r).drop(at).withColumn(name, listed(part)), "url-marked") for r, part in enumerate(self.parts)]
+        dropped(by_range)
+        return reduce(DataFrame.unionByName, marked)
+
+
+def _range(key: Column, ranges: int) -> Column:
+    return F.pmod(F.shiftright(F.xxhash64(key, F.lit(-1)), 16), F.lit(ranges)).cast("int")
 
 
 def judge(pages: DataFrame, listed: DataFrame, url: str = "url", rules: tuple[UrlRule, ...] = RULES) -> DataFrame:
     """``pages`` with host, path, rule, listed and verdict; ``listed`` has the blocked sections (column key:
     host and the path's first part).  Columns of those names are replaced."""
     host, path = host_and_path(F.col(f"`{url}`").cast("string"))
-    rows = pages.select(*[f"`{c}`" for c in pages.columns if c not in ("host", "path", "rule", "listed", "verdict", "section")], host.alias("host"), path.alias("path"))
-    name, action = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": name, "_action": action, "section": section(F.col("host"), F.col("path"))})
-    cascade = Cascade(listed, rows.select(F.col("section").alias("key")))
-    rows = cascade.mark(rows, "section", "listed")
-    return rows.withColumn("verdict", F.coalesce("_action", F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow")))).drop("_action")
+    made = ("host", "path", "rule", "listed", "verdict")
+    action, part = free_names([*pages.columns, *made], 2)
+    rows = pages.select(*[f"`{c}`" for c in pages.columns if c.lower() not in made], host.alias("host"), path.alias("path"))
+    name, its_action = rule_of(F.col("host"), F.col("path"), rules)
+    rows = rows.withColumns({"rule": name, action: its_action, part: section(F.col("host"), F.col("path"))})
+    rows = Cascade(listed, rows.select(F.col(part).alias("key"))).mark(rows, part, "listed")
+    return rows.withColumn("verdict", F.coalesce(action, F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow")))).drop(action, part)
 
 
 def section(host: Column, path: Column) -> Column:

@@ -10,33 +10,37 @@ Line rules (each can be set off by its threshold):
   shouting and of symbol noise;
 * navigation - separators such as ``|`` in at least a quarter as many places as words, or a line of fewer
   than ``min_line_words`` words without closing punctuation;
-* boilerplate - a line of at most ``max_boiler_words`` words that holds one of ``BOILERPLATE``, or one in which
-  at least half of the words repeat the word before them.
+* boilerplate - a line of at most ``max_boiler_words`` words that ``learnt`` has found in unrelated documents,
+  or one in which at least half of the words repeat the word before them.
+
+Boilerplate is learnt from all documents: a line's hash (A-Z lower-cased, white space at its ends left out) goes
+with the signature of its document, the least hash of its words, which copies and nearly all near copies share.
+Lines that come with ``LEAST_SOURCES`` signatures or more, with one in ``SHARE`` of all documents, and with at least one in
+``SPREAD`` as many signatures as documents are boilerplate.  So a group of copies, of any size, teaches nothing, and no
+more than ``SHARE`` times the lines of an average document can be learnt, which bounds what is sent to executors
+whatever the corpus.
 
 Defined results: a null or empty text has no words, all counts 0, and is not kept.  Repeated rows are judged
-one by one.  Lines are cut at ``\\n`` alone; a line without a word counts nowhere.  Memory follows the
-longest document, at about 60 bytes for each of its bytes.
+one by one, and count as copies when boilerplate is learnt.  Lines are cut at ``\\n`` alone; a line without a word counts
+nowhere.  A text at a threshold passes (only more than ``max_lost`` rejects).  An empty table teaches nothing and gives
+an empty table.  Columns of the names of ``MEASURES`` are replaced, all others pass through.  Texts of any length are
+used whole; memory follows the longest, at about 60 bytes for each of its bytes.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.llm import vec
 
-#: Phrases that mark a short line as boilerplate (fixed values of this operator).
-BOILERPLATE = (
-    "all rights reserved", "copyright", "privacy policy", "terms of use", "terms of service", "cookie policy",
-    "use cookies", "javascript", "subscribe to", "sign up", "log in", "click here", "read more", "share this",
-    "powered by", "lorem ipsum",
-)
-
+LEAST_SOURCES, SHARE, SPREAD = 8, 10_000, 5
+MAX_BOILER_WORDS = 40
 MIN_WORDS = 20
 WINDOW = 8
 MAX_REPEAT_PERCENT = 30
@@ -84,30 +88,36 @@ def repeated_words(words: np.ndarray, window: int = WINDOW) -> int:
     return int((np.cumsum(edge) > 0).sum())
 
 
+def _lines(data: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the lines of documents, and their documents.
+
+    A line starts at a document's start and after each line feed; an empty document has one empty line."""
+    starts = np.sort(np.concatenate([docs[:-1], np.flatnonzero(data == 10) + 1]))
+    past = np.append(starts[1:], len(data))
+    ends = np.where((past > starts) & (data[np.maximum(past - 1, 0)] == 10) if len(data) else False, past - 1, past)
+    return starts, ends, np.searchsorted(docs, starts, "right") - 1
+
+
 class LineRules:
-    """The thresholds; ``judge`` gives the measures of a column of texts and, if asked, the cleaned texts."""
+    """The thresholds, and the hashes of learnt lines (sorted); ``judge`` gives the measures of a column of texts
+    and, if asked, the cleaned texts."""
 
-    def __init__(self, max_marks: float = 0.7, min_marks: int = 5, min_line_words: int = 3, max_boiler_words: int = 40, max_lost: float = 0.5, phrases: tuple[str, ...] = BOILERPLATE):
+    def __init__(self, boilerplate: np.ndarray | None = None, max_marks: float = 0.7, min_marks: int = 5, min_line_words: int = 3, max_boiler_words: int = MAX_BOILER_WORDS, max_lost: float = 0.5):
         self.max_marks, self.min_marks, self.min_line_words = max_marks, min_marks, min_line_words
-        self.max_boiler_words, self.max_lost, self.phrases = max_boiler_words, max_lost, phrases
+        self.max_boiler_words, self.max_lost = max_boiler_words, max_lost
+        self.boilerplate = np.zeros(0, np.uint64) if boilerplate is None else boilerplate
 
     def judge(self, column: pa.Array, with_text: bool = False) -> tuple[dict[str, list], list[str]]:
         offsets, data = vec.text_buffers(column)
         out: dict[str, list] = {f.name: [] for f in MEASURES}
         texts: list[str] = []
-        pattern = re.compile("|".join(map(re.escape, self.phrases)).encode()) if self.phrases else None
         for a, b in vec.pieces(offsets):
-            self._piece(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], pattern, out, texts if with_text else None)
+            self._piece(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], out, texts if with_text else None)
         return out, texts
 
-    def _piece(self, data: np.ndarray, docs: np.ndarray, pattern, out: dict[str, list], texts: list[str] | None) -> None:
+    def _piece(self, data: np.ndarray, docs: np.ndarray, out: dict[str, list], texts: list[str] | None) -> None:
         n = len(docs) - 1
-        breaks = np.flatnonzero(data == 10)
-        # a line starts at a document's start and after each line feed; an empty document has one empty line
-        line_starts = np.sort(np.concatenate([docs[:-1], breaks + 1]))
-        line_of_doc = np.searchsorted(docs, line_starts, "right") - 1
-        ends_at = np.append(line_starts[1:], len(data))
-        line_ends = np.where((ends_at > line_starts) & (data[np.maximum(ends_at - 1, 0)] == 10) if len(data) else False, ends_at - 1, ends_at)
+        line_starts, line_ends, line_of_doc = _lines(data, docs)
         starts, ends = vec.word_spans(data, docs[:-1])
         hashes = vec.span_hashes(data, starts, ends)
         solid = _sums(~vec.SPACE[data] & ((data & 0xC0) != 0x80))
@@ -127,11 +137,11 @@ class LineRules:
         bad = (marks > self.max_marks * words) & (marks >= self.min_marks)
         bad |= (bars >= 2) & (4 * bars >= words)
         bad |= ~closed & (words < self.min_line_words)
-        if pattern:
-            found = np.fromiter((m.start() for m in pattern.finditer(vec.LOWER[data].tobytes())), np.int64)
-            holds = np.zeros(len(words), bool)
-            holds[np.searchsorted(line_starts, found, "right") - 1] = True
-            bad |= holds & (words <= self.max_boiler_words)
+        if len(self.boilerplate):
+            short = np.flatnonzero(full & (words <= self.max_boiler_words))
+            keys = vec.span_hashes(vec.LOWER[data], starts[first_word[short]], ends[past_word[short] - 1])
+            at = np.minimum(np.searchsorted(self.boilerplate, keys), len(self.boilerplate) - 1)
+            bad[short] |= self.boilerplate[at] == keys
         stutter = np.zeros(len(hashes), bool)
         stutter[1:] = hashes[1:] == hashes[:-1]
         again = _sums(stutter)
@@ -162,6 +172,40 @@ class LineRules:
                 texts.append(b"\n".join(good).decode())
 
 
+def _line_sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(line, source, n): hashes of the short lines with the signatures of their documents; n documents hold both."""
+    for batch in batches:
+        offsets, data = vec.text_buffers(batch.column("text"))
+        for a, b in vec.pieces(offsets):
+            part, docs = vec.LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a]
+            line_starts, line_ends, doc = _lines(part, docs)
+            starts, ends = vec.word_spans(part, docs[:-1])
+            keys = vec.span_hashes(part, starts, ends)
+            first, past = np.searchsorted(starts, line_starts), np.searchsorted(starts, line_ends)
+            short = np.flatnonzero((past > first) & (past - first <= MAX_BOILER_WORDS))
+            words_of = np.searchsorted(starts, docs)
+            source = np.zeros(b - a, np.uint64)
+            some = np.flatnonzero(np.diff(words_of))
+            if len(some):
+                source[some] = np.minimum.reduceat(vec.mix(keys ^ np.uint64(0x5851F42D4C957F2D)), words_of[some])
+            line = vec.span_hashes(part, starts[first[short]], ends[past[short] - 1])
+            far = np.uint64(0xC2B2AE3D27D4EB4F)
+            _, once = np.unique(vec.mix(line + doc[short].astype(np.uint64) * far), return_index=True)  # once a document
+            line, its = line[once], source[doc[short][once]]
+            _, first_of, n = np.unique(vec.mix(line + its * far), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(line[first_of].view(np.int64)), pa.array(its[first_of].view(np.int64)), pa.array(n, pa.int64())], names=["line", "source", "n"])
+
+
+def learnt(docs: DataFrame, text: str = "text", least: int = LEAST_SOURCES, share: int = SHARE, spread: int = SPREAD) -> np.ndarray:
+    """The sorted hashes of the lines that unrelated documents of ``docs`` share."""
+    texts = docs.select(F.col(f"`{text}`").cast("string").alias("text"))
+    total = texts.count()
+    pairs = texts.mapInArrow(_line_sources, "line long, source long, n long").groupBy("line", "source").agg(F.sum("n").alias("n"))
+    lines = pairs.groupBy("line").agg(F.count("*").alias("sources"), F.sum("n").alias("n"))
+    found = lines.where((F.col("sources") >= max(least, -(-total // share))) & (F.col("sources") * spread >= F.col("n"))).select("line").toArrow()
+    return np.sort(found["line"].to_numpy().view(np.uint64))
+
+
 def measure(docs: DataFrame, text: str = "text", rules: LineRules | None = None, cleaned: str | None = None) -> DataFrame:
     """``docs`` with the columns of ``MEASURES`` (and, if named, the text without its failing lines).
 
@@ -187,5 +231,5 @@ def measure(docs: DataFrame, text: str = "text", rules: LineRules | None = None,
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Each document's measures and verdict."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = measure(docs)
+    out = measure(docs, rules=LineRules(learnt(docs)))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_bad_lines", "lost_chars")

@@ -6,23 +6,26 @@ learns from probabilities as honest as those it will see.  The labels table hold
 (quality 0) and toxic; the chain is junk, then toxic.  Any list of label columns can be chained.
 
 A text's features are the presence of its words (A-Z lower-cased), of their first 3 to 6 characters and of their
-last two bytes; a category's model uses those that mark it: features in at least ``MIN_DOCS`` labelled rows
-of the category that are ``MIN_LIFT`` times as frequent there as elsewhere and by chance
-only with a probability of exp(-``SURPRISE``), ``MAX_FEATURES`` at most, the
-most frequent first.  So a long clean text has nothing to add up.
+last two bytes, and whether two, or three, different words share such a beginning or end: a word family says more than
+one of its words.  A category's model uses those that mark it: features in at least ``MIN_DOCS`` labelled rows
+of the category that are ``MIN_LIFT`` times as frequent there as elsewhere and by chance only with a probability of
+exp(-``SURPRISE``).  So a long clean text has little to add up.  How many there are is bounded by the sample.
 
 The models are fitted on the driver from a sample of about ``MAX_LABELLED`` labelled rows (by hash of the id;
 all rows where there are fewer); every document is scored whole.
 
 Defined results: a null or empty text has no features and gets the models' base rates.  Without labelled rows
 of a category, its probability is 0 everywhere.  Repeated rows are scored one by one; a label row repeated for
-an id counts each time; null labels are left out.
+an id counts each time; null labels are left out, and so is a null id.  A probability at the threshold rejects.  Texts of
+any length are scored whole; in one of more than 2 MB, words of a family are counted by parts of 1 MB.  An empty
+table gives an empty table.  Columns of the names that are added are replaced, all others pass through.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +36,9 @@ from pyspark.sql import types as T
 from corpusmill.llm import vec
 from corpusmill.llm.store import written
 
-MAX_LABELLED, FOLDS, MIN_DOCS, MIN_LIFT, SURPRISE, MAX_FEATURES = 12_000, 5, 4, 6.0, 9.0, 4096
-HEADS, TAIL = (3, 4, 5, 6), 2
+MAX_LABELLED, FOLDS, MIN_DOCS, MIN_LIFT, SURPRISE = 12_000, 5, 4, 3.0, 5.0
+HEADS, TAIL, MORE = (3, 4, 5, 6), 2, (2, 3)
+_ROOT = ~np.uint64(3)  # the low bits of a feature tell how many words it asks for
 
 
 def word_features(data: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -67,19 +71,46 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
             at = end
 
 
+def features_of(doc: np.ndarray, families: list[np.ndarray], roots: np.ndarray | None = None, maybe: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(documents, features), each pair once; of ``roots`` (sorted) alone where given."""
+    docs, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for kind, f in enumerate(families):
+        root, of, word = f & _ROOT, doc, families[0]
+        if roots is not None:
+            near = np.flatnonzero(maybe[(root >> np.uint64(44)).astype(np.int64)])
+            near = near[roots[np.minimum(np.searchsorted(roots, root[near]), len(roots) - 1)] == root[near]]
+            root, of, word = root[near], of[near], word[near]
+        key = vec.mix(root + of.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        _, once = np.unique(vec.mix(key + word * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
+        _, first, n = np.unique(key[once], return_index=True, return_counts=True)
+        docs.append(of[once][first])
+        found.append(root[once][first])
+        for t, least in enumerate(MORE if kind else (), 1):
+            docs.append(docs[-t][n >= least])
+            found.append(found[-t][n >= least] | np.uint64(t))
+    return np.concatenate(docs), np.concatenate(found)
+
+
+def _pairs(column: pa.Array, roots: np.ndarray | None = None, maybe: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(documents, features), each pair once, for pieces of about 1 MB or single longer documents."""
+    for a, parts in groupby(_texts(column), key=lambda part: part[0]):
+        got = [features_of(*word_features(part, at), roots, maybe) for _, part, at in parts]
+        if len(got) == 1:
+            yield got[0][0] + a, got[0][1]
+        else:  # one long document
+            every = np.unique(np.concatenate([found for _, found in got]))
+            yield np.full(len(every), a), every
+
+
 def _counted(n_labels: int):
     """(feature, rows with it, rows with it of each category), one row per feature and piece of about 1 MB."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels = np.array([batch.column(f"y{i}").to_numpy(zero_copy_only=False) for i in range(n_labels)], np.int64)
-            offsets, data = vec.text_buffers(batch.column("text"))
-            for a, b in vec.pieces(offsets):
-                doc, families = word_features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                found, docs = np.concatenate(families), np.tile(doc, len(families))
-                _, once = np.unique(vec.mix(found + docs.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)), return_index=True)
-                keys, place = np.unique(found[once], return_inverse=True)
-                sums = [np.bincount(place, minlength=len(keys)), *(np.bincount(place, y[docs[once] + a], len(keys)) for y in labels)]
+            for docs, found in _pairs(batch.column("text")):
+                keys, place = np.unique(found, return_inverse=True)
+                sums = [np.bincount(place, minlength=len(keys)), *(np.bincount(place, y[docs], len(keys)) for y in labels)]
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(s.astype(np.int64)) for s in sums)], names=["f", "n", *(f"n{i}" for i in range(n_labels))])
 
     return run
@@ -103,28 +134,24 @@ class Present:
     """Which of the given features stand in each document of a column."""
 
     def __init__(self, features: np.ndarray):
-        self.features = features
+        self.features, self.roots = features, np.unique(features & _ROOT)
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(features >> np.uint64(44)).astype(np.int64)] = True
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(documents, places in ``features``), each pair once."""
-        if not len(self.features):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        """(documents, places in ``features``), each pair once, sorted."""
         out = [np.zeros(0, np.int64)]
         size = len(self.features)
-        for a, part, at in _texts(column):
-            doc, families = word_features(part, at)
-            for f in families:
-                near = np.flatnonzero(self.maybe[(f >> np.uint64(44)).astype(np.int64)])
-                place = np.minimum(np.searchsorted(self.features, f[near]), size - 1)
-                hit = self.features[place] == f[near]
-                out.append(np.unique((doc[near[hit]] + a) * size + place[hit]))
-        pairs = np.unique(np.concatenate(out))
-        return pairs // size, pairs % size
-
-
-def _fitted(rows: np.ndarray, cols: np.ndarray, size: int, earlier: np.ndarray, y: np.ndarray, steps: int = 300, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray, float]:
+        if size:
+            for docs, found in _pairs(column, self.roots, self.maybe):
+                place = np.minimum(np.searchsorted(self.features, found), size - 1)
+                hit = self.features[place] == found
+                out.append(docs[hit] * size + place[hit])
+        pairs = np.sort(np.concatenate(out))
+        return pairs // max(1, size), pairs % max(1, size)
+
+
+def _fitted(rows: np.ndarray, cols: np.ndarray, size: int, earlier: np.ndarray, y: np.ndarray, steps: int = 300, ridge: float = 0.1) -> tuple[np.ndarray, np.ndarray, float]:
     """Logistic regression by Adam on the whole sample; ``earlier`` is dense."""
     n, m = len(y), earlier.shape[1]
     w = np.zeros(size + m + 1)
@@ -167,7 +194,7 @@ class Chain:
             lift = (F.col(f"n{i}") / inside) / ((F.col("n") - F.col(f"n{i}") + 0.5) / outside)
             base, share = inside / max(inside + 1, sums["n"]), F.col(f"n{i}") / F.col("n")
             surprise = F.col("n") * (share * F.log(share / base) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0))
-            top = counts.where((F.col(f"n{i}") >= MIN_DOCS) & (lift >= MIN_LIFT) & (surprise >= SURPRISE)).orderBy(F.desc(f"n{i}"), "f").limit(MAX_FEATURES).select("f").toArrow()
+            top = counts.where((F.col(f"n{i}") >= MIN_DOCS) & (lift >= MIN_LIFT) & (surprise >= SURPRISE)).select("f").toArrow()
             chosen.append(np.sort(top["f"].to_numpy().view(np.uint64)) if len(top) else np.zeros(0, np.uint64))
         every = np.unique(np.concatenate(chosen))
         sample = rows.mapInArrow(_sampled(every, len(names)), "id long, has array<int>, " + ", ".join(f"y{i} int" for i in range(len(names)))).orderBy("id").toArrow()

@@ -16,13 +16,17 @@ an item that together weigh more than the part of it that ``LEAST`` lets a copy
 window as alike as that holds one of them.  All windows as long as the item that hold an anchor are compared,
 also those that stick out of the document's start or end, there cut, so none at ``LEAST`` or more is missed.
 
+An item of fewer words than a shingle is one shingle, all its words; documents that hold these in a row hold it.
+
 Items go to the executors in blocks of ``ITEM_BLOCK``, each block one pass over the documents.
 
-Defined results: null and empty texts hold no item.  Items of fewer than five words are too short to tell
-and match nothing; items equal in id and words count once, and equal items with other ids are all reported, as
-are all texts of one id and items without an id (``op9_decontamination`` counts an id once, and lists null last,
-once, for all hits without an id).
-Repeated documents are judged one by one.
+Defined results: null and empty texts hold no item, and items without a word are held by none; items equal in id
+and words count once, and equal items with other ids are all reported, as are all texts of one id and items without an
+id (``op9_decontamination`` counts an id once, and lists null last, once, for all hits without an id).
+Repeated documents are judged one by one.  Of windows equally alike the first is reported.  Documents and items of any length
+are searched whole: running counts are kept for ``_STEP`` words at a time.  An empty benchmark leaves all documents clean, an
+empty table gives an empty table.  ``find`` replaces a column of the name it adds; all others pass through, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -39,6 +43,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.llm import vec
+from corpusmill.llm.names import free_names
+from corpusmill.llm.store import written
 
 SHINGLE, LEAST, RADIUS, ITEM_BLOCK = 5, 0.8, 11, 5_000
 SIZES = (5, 6, 7, 8, 11, 16, 22, 32, 45, 64, 90, 128)
@@ -91,8 +97,12 @@ class Index:
         flips = [0] + [sum(1 << b for b in c) for r in range(1, radius // 4 + 1) for c in combinations(range(16), r)]
         flips = np.array(flips, np.uint16)
         self.classes = []
-        size_of = [max(s for s in SIZES if s <= len(w)) for _, w in self.items]
-        for size in sorted(set(size_of)):
+        size_of = [max((s for s in SIZES if s <= len(w)), default=0) for _, w in self.items]
+        self.short: dict[int, dict[int, list[int]]] = {}  # by number of words: shingle -> items
+        for k, (_, w) in enumerate(self.items):
+            if len(w) < SHINGLE:
+                self.short.setdefault(len(w), {}).setdefault(int(vec.shingles(w, SHINGLE)[0]), []).append(k)
+        for size in sorted(set(size_of) - {0}):
             own = np.array([k for k, s in enumerate(size_of) if s == size])
             prints = np.array([fingerprints(self.items[k][1][:size], size)[0] for k in own], np.uint64)
             tables = []
@@ -107,6 +117,8 @@ class Index:
         self.keys = [np.array(sorted(w), np.uint64) for w in self.weights]
         anchors: dict[int, list[int]] = {}
         for k, weight in enumerate(self.weights):
+            if not size_of[k]:
+                continue
             left = (1 - LEAST) * self.total_weight[k] + 1e-9
             for s in sorted(weight, key=lambda s: (-weight[s], s)):  # noqa: B023
                 anchors.setdefault(s, []).append(k)
@@ -219,6 +231,12 @@ class Index:
                     s = self.similarity(words[w:past], int(i))
                     if s >= LEAST - 1e-9 and s > found.get((d, int(i)), (0.0, 0))[0]:
                         found[d, int(i)] = (s, int(w))
+        for m, held in self.short.items():
+            seen = vec.shingles(words, m) if len(words) >= m else np.zeros(0, np.uint64)
+            inside = np.flatnonzero(doc[: len(seen)] == doc[m - 1 : m - 1 + len(seen)])
+            for w in inside[np.isin(seen[inside], np.array(sorted(held), np.uint64))].tolist():
+                for i in held[int(seen[w])]:
+                    found.setdefault((int(doc[w]), i), (1.0, w))
         for d, i, s, w in self.anchored(words, doc):
             if s > found.get((d, i), (0.0, 0))[0]:
                 found[d, i] = (s, w)
@@ -240,7 +258,7 @@ def item_rows(benchmark: DataFrame, text: str = "text", key: str = "item_id") ->
 
     rows = benchmark.select(F.col(f"`{key}`").cast("long").alias("item_id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, "item_id long, words array<long>, shingles array<long>")
     # a passage is an id with its words; the id may be null
-    rows = rows.where(F.size("words") >= SHINGLE).withColumn("passage", F.xxhash64(F.col("item_id").isNull(), "item_id", "words")).dropDuplicates(["passage"])
+    rows = rows.where(F.size("words") > 0).withColumn("passage", F.xxhash64(F.col("item_id").isNull(), "item_id", "words")).dropDuplicates(["passage"])
     each = rows.select("passage", F.posexplode("shingles").alias("at", "s"))
     df = each.groupBy("s").agg(F.count_distinct("passage").alias("df"))
     listed = each.join(df, "s").groupBy("passage").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "df"))), lambda x: x["df"]).alias("df"))
@@ -281,19 +299,20 @@ def _finder(block: list[tuple], total: int, passed: list[T.StructField], text: s
 
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_key: str = "item_id", out: str = "hits") -> DataFrame:
     """``docs`` with column ``out``: the items each document holds (item_id, similarity, first_word)."""
-    items = item_rows(benchmark, item_text, item_key).persist()
+    items = written(item_rows(benchmark, item_text, item_key), "benchmark-items")
     total = items.count()
     passed = [f for f in docs.schema.fields if f.name != out]
-    found = docs.select(*[f"`{f.name}`" for f in passed])
-    result = found.withColumn(out, F.array().cast(T.ArrayType(_HITS)))
+    so_far, more = free_names([*docs.columns, out], 2)
+    need = docs.select(*[f"`{f.name}`" for f in docs.schema.fields if f.name != out or f.name == text])
+    before, result = T.StructField(so_far, T.ArrayType(_HITS)), None
     block: list[tuple] = []
 
     def through(result: DataFrame) -> DataFrame:
-        schema = T.StructType([*passed, T.StructField("_more", T.ArrayType(_HITS)), T.StructField("_before", T.ArrayType(_HITS))])
-        before = result.withColumnRenamed(out, "_before")
-        fields = [*passed, schema["_before"]]
-        return before.mapInArrow(_finder(list(block), total, fields, text, "_more"), T.StructType([*fields, schema["_more"]])).select(*[f"`{f.name}`" for f in passed], F.concat("_before", "_more").alias(out))
+        held = [*need.schema.fields, before]
+        found = result.mapInArrow(_finder(list(block), total, held, text, more), T.StructType([*held, T.StructField(more, T.ArrayType(_HITS))]))
+        return found.select(*[f"`{f.name}`" for f in need.schema.fields], F.concat(so_far, more).alias(so_far))
 
+    result = need.withColumn(so_far, F.array().cast(T.ArrayType(_HITS)))
     for r in items.toLocalIterator():
         block.append((r["item_id"], list(r["words"]), list(r["df"])))
         if len(block) == ITEM_BLOCK:
@@ -301,13 +320,13 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: s
             block.clear()
     if block:
         result = through(result)
-    items.unpersist()
-    return result
+    return result.select(*[f"`{f.name}`" for f in passed], F.col(so_far).alias(out))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without the documents that hold a benchmark item."""
-    return find(docs, benchmark, text, out="_hits").where(F.size("_hits") == 0).drop("_hits")
+    hits = free_names(docs.columns, 1)[0]
+    return find(docs, benchmark, text, out=hits).where(F.size(hits) == 0).drop(hits)
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:

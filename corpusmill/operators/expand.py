@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from corpusmill import packs
 from corpusmill.functions.rules import OK, Rule, coded, first_failure
 from corpusmill.functions.text import hits, holds_any, last_of_role, normal, strip
-from corpusmill.operators.dedup import near_duplicates
+from corpusmill.operators.dedup import alike_pairs
+from corpusmill.operators.similarity import reaches
+from corpusmill.store import dropped, written
 
 
 def question_intent(text: Column) -> Column:
@@ -37,14 +39,33 @@ def variant_rules(variant: Column, original: Column, chars=(4, 120)) -> list[Rul
 
 
 def accepted(variants: DataFrame, taken: DataFrame, quota: int = 15, least: float = 0.88) -> DataFrame:
-    """``variants`` (seed_id, original, variant, ord) that are sound, new and unlike each other, up to ``quota``
-    a seed; ``taken`` (text) are texts that exist."""
+    """``variants`` (seed_id, original, variant, ord) that one after the other would be taken: sound, equal to no
+    text that exists or was taken, alike to none taken for the same seed, and up to ``quota`` a seed; ``taken``
+    (text) are texts that exist.
+
+    A variant that is not taken blocks none.  So it is settled in rounds: a variant goes if an earlier one that blocks it
+    was taken or its seed is full, and is taken if all earlier ones that could block it went and the
+    seed has room for all that are still open before it."""
     text = normal(strip(F.col("variant")), "short")
-    sound = variants.where(first_failure(variant_rules(F.col("variant"), F.col("original"))) == OK)
-    fresh = sound.withColumn("_text", text).join(taken.select(normal(F.col("text"), "short").alias("_text")).distinct(), "_text", "left_anti")
-    first = fresh.withColumn("_n", F.row_number().over(Window.partitionBy("_text").orderBy("ord"))).where("_n = 1").drop("_n")
-    unlike = near_duplicates(first, F.col("_text"), F.col("seed_id").cast("string"), F.col("ord"), least).where("status = 'kept'")
-    return unlike.withColumn("_n", F.row_number().over(Window.partitionBy("seed_id").orderBy("ord"))).where(F.col("_n") <= quota).drop("_n", "_text", "status")
+    sound = variants.where(first_failure(variant_rules(F.col("variant"), F.col("original"))) == OK).withColumn("_text", text)
+    sound = sound.join(taken.select(normal(F.col("text"), "short").alias("_text")).distinct(), "_text", "left_anti").withColumn("_seed", F.coalesce(F.col("seed_id").cast("string"), F.lit("")))
+    nodes = written(sound.select(F.col("ord").alias("node"), F.col("_seed").alias("seed"), F.col("_text").alias("text")), "variants")
+    pairs = alike_pairs(nodes, nodes, least, ["seed"], F.col("r_node") < F.col("l_node"))
+    near = written(pairs.where((F.col("l_text") != F.col("r_text")) & reaches(F.col("l_text"), F.col("r_text"), least)).select(F.col("l_node").alias("late"), F.col("r_node").alias("early")), "variants-near")
+    state = nodes.withColumn("taken", F.lit(None).cast("boolean"))
+    while not state.where("taken is null").isEmpty():
+        earlier = near.join(state.select(F.col("node").alias("early"), F.col("taken").alias("t")), "early").groupBy("late").agg(F.max("t").alias("near_taken"), F.max(F.col("t").isNull()).alias("near_open"))
+        equal = state.groupBy("text").agg(F.max("taken").alias("text_taken"), F.min(F.when(F.col("taken").isNull(), F.col("node"))).alias("text_first"))
+        before = Window.partitionBy("seed").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)  # what was asked for one seed
+        told = state.withColumns({"full": F.coalesce(F.count_if(F.col("taken")).over(before), F.lit(0)), "open": F.coalesce(F.count_if(F.col("taken").isNull()).over(before), F.lit(0))})
+        told = told.join(equal, "text").join(earlier, F.col("node") == F.col("late"), "left")
+        blocked = F.coalesce(F.col("text_taken"), F.lit(False)) | F.coalesce(F.col("near_taken"), F.lit(False)) | (F.col("full") >= quota)
+        free = (F.col("node") == F.col("text_first")) & ~F.coalesce(F.col("near_open"), F.lit(False)) & (F.col("full") + F.col("open") < quota)
+        now = F.when(F.col("taken").isNotNull(), F.col("taken")).when(blocked, False).when(free, True)
+        state, last = written(told.select("node", "seed", "text", now.alias("taken")), "variants"), state
+        dropped(last)
+    kept = state.where("taken").select(F.col("node").alias("_node"))
+    return sound.join(kept, F.col("ord") == F.col("_node"), "left_semi").drop("_text", "_seed")
 
 
 def rewritten(messages: Column, user: Column) -> Column:

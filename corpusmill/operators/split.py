@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import first_full
+from corpusmill.store import written
 
 
 def shuffled(seed: int, key: Column) -> Column:
@@ -29,17 +30,34 @@ def groups(df: DataFrame, key: str, category: str, order: str) -> DataFrame:
     return each.groupBy("group_key").agg(best.alias("category"), F.sum("n").alias("size"), F.count("*").alias("n_categories"))
 
 
+def ranked(df: DataFrame, strata: Sequence[str], order: Sequence[Column], rank: str = "_rank", size: str = "_size") -> DataFrame:
+    """``df`` with each row's place in its stratum (from 1) and the stratum's size; nulls are a stratum too.
+
+    Rows are ranged over partitions by stratum and order, and each partition counts on from what those before it
+    hold of a stratum, so no task sees more than its share, whatever one stratum holds."""
+    by = [*[F.col(c) for c in strata], *order]
+    ranged = written(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("_at", 33).alias("_part")
+    sizes = ranged.groupBy(part, *strata).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))  # a row for each partition and stratum in it
+    same = Window.partitionBy(*strata)
+    before = F.sum("_n").over(same.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_part", "_first", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(same).alias(size), *[F.col(c).alias(f"_its_{c}") for c in strata])
+    mine = F.col("_part") == F.shiftright("_at", 33)
+    for c in strata:
+        mine = mine & F.col(c).eqNullSafe(F.col(f"_its_{c}"))
+    placed = ranged.join(starts, mine).withColumn(rank, F.col("_at") - F.col("_first") + F.col("_before") + 1)
+    return placed.select(*[f"`{c}`" for c in df.columns], rank, size)
+
+
 def stratified(df: DataFrame, strata: Sequence[str], key: str, ratio: float, seed: int = 42, least: int = 1) -> DataFrame:
     """``df`` (one row per unit) with column split: of n units of a stratum round(n * ratio), half to even, but
-    at least ``least`` and at most n - 1, are valid; a single one is train."""
+    at least ``least`` and at most n - 1, are valid; a single one is train.  Units without a stratum are one."""
     if not 0 < ratio < 1:
         raise ValueError("the ratio must be between 0 and 1")
-    sizes = df.groupBy(*strata).agg(F.count("*").alias("_size"))
-    same = Window.partitionBy(*strata).orderBy(shuffled(seed, F.col(key)), F.col(key))
     n = F.col("_size")
     quota = F.when(n == 1, 0).otherwise(F.least(F.greatest(F.bround(n * F.lit(ratio)), F.lit(least)), n - 1))
-    ranked = df.withColumn("_rank", F.row_number().over(same)).join(sizes, list(strata))
-    return ranked.withColumn("split", F.when(F.col("_rank") <= quota, "valid").otherwise("train")).drop("_rank", "_size")
+    placed = ranked(df, strata, [shuffled(seed, F.col(key)), F.col(key)])
+    return placed.withColumn("split", F.when(F.col("_rank") <= quota, "valid").otherwise("train")).drop("_rank", "_size")
 
 
 def split_rows(df: DataFrame, key: str, category: str, order: str, ratio: float, seed: int = 42, least: int = 1) -> DataFrame:
@@ -61,13 +79,11 @@ def apportioned(targets: DataFrame, total: int) -> DataFrame:
 def paired(plan: DataFrame, sources: DataFrame, seed: int = 42) -> DataFrame:
     """Each plan row (category, plan_id) with a source (category, source_id): the k-th of a category with source
     k mod n of that category in shuffled order; a category without sources takes from all of them."""
-    order = lambda *by: Window.partitionBy(*by).orderBy(shuffled(seed, F.col("source_id")), "source_id")
     sizes = sources.groupBy("category").agg(F.count("*").alias("_n"))
-    own = sources.select("category", "source_id", (F.row_number().over(order("category")) - 1).alias("_k"))
-    turn = Window.partitionBy("category").orderBy("plan_id")
-    ranked = plan.join(sizes, "category", "left").withColumn("_turn", F.row_number().over(turn) - 1)
-    direct = ranked.where("_n is not null").withColumn("_k", F.pmod("_turn", "_n")).join(own, ["category", "_k"]).select(*plan.columns, "source_id")
-    orphans = ranked.where("_n is null")
+    own = ranked(sources.select("category", "source_id"), ["category"], [shuffled(seed, F.col("source_id")), F.col("source_id")], "_k").select("category", "source_id", (F.col("_k") - 1).alias("_k"))
+    turns = ranked(plan, ["category"], [F.col("plan_id")], "_turn").drop("_size").join(sizes, "category", "left").withColumn("_turn", F.col("_turn") - 1)
+    direct = turns.where("_n is not null").withColumn("_k", F.pmod("_turn", "_n")).join(own, ["category", "_k"]).select(*plan.columns, "source_id")
+    orphans = turns.where("_n is null")
     total = sources.agg(F.count("*").alias("_n"))
     every = sources.select("source_id", F.xxhash64("source_id").alias("_h"), F.pmod(F.xxhash64("source_id"), F.lit(1024)).alias("_k"))
     lone = orphans.drop("_n").join(F.broadcast(total)).where("_n > 0")  # one row
@@ -84,8 +100,9 @@ def sampled(df: DataFrame, strata: Sequence[str], key: str, n: int, seed: int =
 
 
 def batched(df: DataFrame, order: str, size: int) -> DataFrame:
-    """A plan (some hundred rows) with its batch number."""
-    return df.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / size).cast("long"))
+    """``df`` with the number of its batch of ``size`` rows, in order, whatever its size."""
+    placed = ranked(df, [], [F.col(order)])
+    return placed.withColumn("batch", F.floor((F.col("_rank") - 1) / size).cast("long")).drop("_rank", "_size")
 
 
 def numbered(df: DataFrame, order: Sequence[Column], prefix: str, start: int = 1) -> DataFrame:

@@ -73,6 +73,40 @@ def sources_from_items(df: DataFrame, default: str = "") -> DataFrame:
     return df.where(good).select(F.lit("from_eval").alias("source"), F.col("id").alias("source_id"), "category", prompt(F.lit(""), query, default).alias("prompt"), F.array(message("assistant", answer)).alias("chosen"), F.to_json(F.struct("eval_type", "difficulty", "risk_tags", "need_human", "need_rag", "expected_docs")).alias("metadata"))
 
 
+def preference_item(df: DataFrame, answer: Column) -> DataFrame:
+    """Preference pairs from rows of a plan joined with their source (id, category, rejected_type, severity, source,
+    source_id, prompt, chosen, metadata); ``answer`` has fields rejected and preference_reason."""
+    said = lambda name: strip(filled(answer[name]))
+    return df.select("id", "category", "source", "source_id", "rejected_type", "severity", "prompt", "chosen", F.array(message("assistant", said("rejected"))).alias("rejected"), said("preference_reason").alias("preference_reason"), "metadata")
+
+
+def aligned(df: DataFrame, left: str, right: str) -> DataFrame:
+    """One row for each place of two arrays, as far as the shorter goes: the other columns, ``at`` (from 0), and the
+    two values under the arrays' names."""
+    n = F.least(F.size(left), F.size(right))
+    both = F.slice(F.arrays_zip(F.col(left).alias("l"), F.col(right).alias("r")), 1, n)
+    rest = [f"`{c}`" for c in df.columns if c not in (left, right)]
+    return df.where(F.col(left).isNotNull() & F.col(right).isNotNull()).select(*rest, F.posexplode(both).alias("at", "x")).select(*rest, "at", F.col("x.l").alias(left), F.col("x.r").alias(right))
+
+
+def training_pairs(df: DataFrame) -> DataFrame:
+    """What a preference trainer reads: prompt, chosen and rejected, and its kind and reason (empty without); a row
+    without one of the three fails the read."""
+    need = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in ("prompt", "chosen", "rejected")])
+    checked = F.when(need, F.raise_error(F.lit("a row has no prompt, chosen or rejected")).cast(df.schema["prompt"].dataType)).otherwise(F.col("prompt"))
+    extra = [filled(F.col(c)).alias(c) if c in df.columns else F.lit("").alias(c) for c in ("rejected_type", "preference_reason")]
+    return df.select(checked.alias("prompt"), "chosen", "rejected", *extra)
+
+
+def training_turns(messages: Column) -> Column:
+    """(prompt, answer) of a training sample: all messages but the last, and the last, which must be the
+    assistant's; fewer than two messages, or another last role, fail the read."""
+    n = F.size(messages)
+    bad = F.when(F.coalesce(n, F.lit(0)) < 2, F.lit("messages too short")).when(~F.element_at(messages, -1)["role"].eqNullSafe("assistant"), F.lit("last message must be assistant"))
+    answer = F.when(bad.isNotNull(), F.raise_error(bad).cast("string")).otherwise(F.element_at(messages, -1)["content"])
+    return F.struct(F.slice(messages, 1, F.greatest(n - 1, F.lit(0))).alias("prompt"), answer.alias("answer"))
+
+
 def preference_key(prompt_messages: Column, kind: Column, rejected: Column, every_user: bool = False) -> Column:
     """Question, kind and rejected answer in normal form; the question is the first user message, or all of them."""
     user = role_text(prompt_messages, "user") if every_user else F.get(F.filter(prompt_messages, lambda m: m["role"] == "user"), F.lit(0))["content"]

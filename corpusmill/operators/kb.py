@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +54,22 @@ def canonical(df: DataFrame, order: str) -> DataFrame:
     return out.where(~(blank(F.col("title")) & blank(F.col("content"))))
 
 
+def not_empty(df: DataFrame, what: str = "no valid documents") -> DataFrame:
+    """``df``, or an error where nothing is left of it."""
+    if df.isEmpty():
+        raise ValueError(what)
+    return df
+
+
+def overlaid(raw: DataFrame, known: Sequence[str] = ("doc_id", "chunk_id", "doc_type", "category", "title", "content", "source")) -> DataFrame:
+    """Canonical documents (with ``raw``, the row as JSON) as one JSON object each: the raw row's fields, and over
+    them the canonical ones."""
+    fields = F.from_json("raw", "map<string,string>")
+    own = F.map_from_arrays(F.array(*map(F.lit, known)), F.array(*[F.col(c).cast("string") for c in known]))
+    rest = F.map_filter(fields, lambda k, _: ~k.isin(*known))
+    return raw.select("doc_id", F.to_json(F.map_concat(F.coalesce(rest, F.create_map().cast("map<string,string>")), own)).alias("json"))
+
+
 def embedding_text(title: Column, doc_type: Column, category: Column, content: Column, labels=("标题", "类型", "类别", "内容")) -> Column:
     """Labelled lines of what is there."""
     parts = [F.when(filled(c) != "", F.concat(F.lit(f"{name}："), c)) for name, c in zip(labels, (title, doc_type, category, content), strict=True)]

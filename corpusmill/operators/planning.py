@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusmill import packs
 
@@ -73,3 +75,26 @@ def until_full(total: int, one_round: Callable[[int, int], int], most: int = 20,
 def asked(need: int, factor: float = 1.5, least: int = 1) -> int:
     """How many variants to ask for so that ``need`` remain."""
     return max(least, need, int(need * factor))
+
+
+def refilled(need: int, ask: Callable[[int], int], rounds: int = 3, factor: float = 1.5) -> int:
+    """How many of ``need`` are had after asking again for what is missing, ``rounds`` times at most; ``ask`` gives
+    how many of those it was asked for were accepted."""
+    have = 0
+    for _ in range(rounds):
+        if have >= need:
+            break
+        have += ask(asked(need - have, factor))
+    return min(have, need)
+
+
+def filled_in(template: str, values: dict[str, object]) -> str:
+    """A prompt template with its ``{name}`` places filled; unknown names and other braces stay as they are."""
+    return re.sub(r"\{([A-Za-z_][A-Za-z_0-9]*)\}", lambda m: str(values[m[1]]) if m[1] in values else m[0], template)
+
+
+def prompts(df: DataFrame, template: str, name: str = "prompt") -> DataFrame:
+    """``df`` with the template filled from its columns, row by row, in column ``name``."""
+    parts = re.split(r"(\{[A-Za-z_][A-Za-z_0-9]*\})", template)
+    known = {f"{{{c}}}": c for c in df.columns}
+    return df.withColumn(name, F.concat(*[F.coalesce(F.col(known[p]).cast("string"), F.lit("")) if p in known else F.lit(p) for p in parts]))

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions.text import blank, first_full
+
 BLOCK = 512
 
 
@@ -81,6 +83,14 @@ def top_k(queries: DataFrame, docs: DataFrame, k: int = 5, least: float | None =
     return ranked.select("query_id", "rank", "doc_id", "score")
 
 
+def asked(df: DataFrame, only_needing: bool = True) -> DataFrame:
+    """The evaluation rows that are put to retrieval, with their question in ``query`` (else ``user_query``): those
+    that need it (unless all are wanted) and whose question is not blank."""
+    query = first_full(*[F.col(c) for c in ("query", "user_query") if c in df.columns])
+    rows = df.where(F.coalesce(F.col("need_rag"), F.lit(False))) if only_needing else df
+    return rows.withColumn("query", query).where(~blank(F.col("query")))
+
+
 def expected_set(docs: Column) -> Column:
     return F.array_distinct(F.filter(F.coalesce(docs, F.array().cast("array<string>")), lambda x: F.trim(x) != ""))
 

@@ -5,15 +5,14 @@ Every query runs over whole tables and whole texts.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill import packs
 from corpusmill.functions.rules import all_failures, first_failure
 from corpusmill.functions.text import normal, role_text
 from corpusmill.operators import dedup, expand, items, kb, metrics, planning, quality, retrieval, risk, split, validate
+from corpusmill.plans.registry import QUERIES, SQL, registered
 from corpusmill.plans.tables import (
     ANSWERS, DIALOGUES, KB, PAIRS, answers, dialogues, sql_all_hits, sql_first_hit, sql_hits, sql_holds, sql_normal, sql_role, sql_strip, table, turn_pairs, vectors,
 )
@@ -21,20 +20,7 @@ from corpusmill.plans.tables import kb as kb_table
 from corpusmill.sources import providers, report
 from corpusmill.sources.jsonl import parsed
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def registered(sql: str | None = None):
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
+__all__ = ["QUERIES", "SQL"]
 
 def _md5(column):
     return F.md5(column)
@@ -219,8 +205,9 @@ def overlap_contains(spark, d):
 
 @registered()
 def overlap_near(spark, d):
-    turns = table(spark, d, "conversations").select(F.col("role").alias("dataset"), F.xxhash64("conv_id", "turn").alias("rank"), normal(F.col("text")).alias("text"))
-    return dedup.near_overlap(table(spark, d, "benchmark").select(F.col("item_id").alias("item"), normal(F.col("text")).alias("text")), turns)
+    """Documents whose id is divisible by 20, against all others."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("item"), F.col("lang").alias("dataset"), F.col("doc_id").alias("rank"), normal(F.col("text")).alias("text"))
+    return dedup.near_overlap(rows.where("item % 20 = 0").select("item", "text"), rows.where("item % 20 <> 0").select("dataset", "rank", "text"))
 
 
 # ---------------------------------------------------------------- audits
@@ -565,17 +552,63 @@ def preference_keys(spark, d):
     return rows.select("id", _md5(items.preference_key(F.slice("messages", 1, 2), F.col("category"), F.col("answer"))).alias("key_md5"))
 
 
-@registered()
-def preference_gate(spark, d):
-    rows = turn_pairs(spark, d).withColumns({
-        "source": F.lit("from_sft"), "rejected_type": F.element_at(F.lit(list(packs.REJECTED_TYPES)), (F.pmod(F.xxhash64("id"), F.lit(9)) + 1).cast("int")), "severity": F.lit("low"), "prompt": F.slice("messages", 1, 2),
-        "chosen": F.slice("messages", 3, 1), "rejected": F.array(F.struct(F.lit("assistant").alias("role"), F.col("user").alias("content"))), "preference_reason": F.lit("a reason of length"),
+_MARKS = {k: v for k, v in {
+    "fabricated_policy": "15 天", "compensation_commitment": "赔偿", "missing_action": "稍后", "rude_tone": "别问", "fake_order_or_logistics_status": "包裹在", "over_marketing": "加购", "no_human_transfer": "直接", "unsafe_overpromise": "百分百",
+}.items()}
+
+
+def _preferences(spark, d):
+    """Pairs as preference items: the rejected answer is the question, with the mark of its kind on two of three turns."""
+    kind = F.element_at(F.lit(list(packs.REJECTED_TYPES)), (F.col("turn") % 9 + 1).cast("int"))
+    mark = F.lit("")
+    for name, text in _MARKS.items():
+        mark = F.when(kind == name, text).otherwise(mark)
+    rows = turn_pairs(spark, d).withColumn("rejected_text", F.concat("user", F.when(F.col("conv_id") % 3 > 0, mark).otherwise(F.lit(""))))
+    return rows.withColumns({
+        "source": F.lit("from_sft"), "source_id": F.col("id"), "rejected_type": kind, "severity": F.when(F.col("turn") % 4 == 0, "grave").otherwise("low"), "prompt": F.slice("messages", 1, 2), "chosen": F.slice("messages", 3, 1),
+        "rejected": F.array(F.struct(F.lit("assistant").alias("role"), F.col("rejected_text").alias("content"))), "preference_reason": F.when(F.col("conv_id") % 10 == 0, "short").otherwise("a reason of length"),
     })
+
+
+_PREFERENCES = f"""SELECT *, {sql_strip("answer")} AS c, {sql_strip("rt")} AS r, replace("user" || chr(1) || answer || chr(1) || rt, chr(10), chr(92) || 'n') AS j FROM (SELECT *,
+  "user" || CASE WHEN conv_id % 3 > 0 THEN CASE kind {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _MARKS.items())} ELSE '' END ELSE '' END AS rt FROM (SELECT *, {list(packs.REJECTED_TYPES)!r}[turn % 9 + 1] AS kind FROM ({PAIRS})))"""
+_MATCHES = f"CASE kind {' '.join(f'WHEN {k!r} THEN {sql_hits(chr(114), v)}' for k, v in packs.REJECTED_MARKERS.items() if k != 'wrong_intent')} ELSE TRUE END"
+
+
+@registered(f"""SELECT id, CASE WHEN length(c) < 10 THEN 'chosen_too_short' WHEN length(r) < 4 THEN 'rejected_too_short' WHEN length(r) > 180 THEN 'rejected_too_long'
+  WHEN {sql_first_hit('j', packs.SENSITIVE)} IS NOT NULL THEN {sql_first_hit('j', packs.SENSITIVE, 'sensitive_')} WHEN {sql_hits('c', packs.ASSISTANT_COMMITMENT)} THEN 'chosen_has_risky_commitment'
+  WHEN NOT {_MATCHES} THEN 'rejected_type_not_matched' WHEN conv_id % 10 = 0 THEN 'preference_reason_too_short' ELSE 'ok' END AS reason FROM ({_PREFERENCES})""")
+def preference_gate(spark, d):
+    """No question here is like its answer, so the SQL needs no similarity; a test has both sides of that rule."""
+    rows = _preferences(spark, d)
     names = ("id", "category", "source", "rejected_type", "severity", "prompt", "chosen", "rejected", "preference_reason")
-    rules = validate.preference_rules({c: F.col(c) for c in names}, F.to_json(F.struct(*names)), match_type=False)
+    rules = validate.preference_rules({c: F.col(c) for c in names}, F.to_json(F.struct(*names)))
     return rows.select("id", first_failure(rules).alias("reason"))
 
 
+_PREFERENCE_AUDIT = f"""SELECT id, unnest(list_filter([CASE WHEN turn % 4 = 0 THEN 'invalid_severity' END, CASE WHEN length(c) < 10 THEN 'chosen_too_short' END, CASE WHEN length(r) < 4 THEN 'rejected_too_short' END, CASE WHEN length(r) > 200 THEN 'rejected_too_long' END,
+  CASE WHEN {sql_hits('c', packs.ASSISTANT_COMMITMENT)} THEN 'chosen_has_risky_commitment' END, {sql_first_hit('j', packs.SENSITIVE, 'sensitive_')}, CASE WHEN conv_id % 10 = 0 THEN 'bad_preference_reason' END], lambda x: x IS NOT NULL)) AS issue_type FROM ({_PREFERENCES})"""
+
+
+def _preference_issues(spark, d):
+    rows = _preferences(spark, d)
+    names = ("id", "category", "source", "source_id", "rejected_type", "severity", "prompt", "chosen", "rejected", "preference_reason")
+    return rows, quality.issues(rows, "dpo_train", F.col("id"), validate.preference_audit({c: F.col(c) for c in names}, F.to_json(F.struct(*names))))
+
+
+@registered(_PREFERENCE_AUDIT)
+def preference_audit(spark, d):
+    return _preference_issues(spark, d)[1].select("id", "issue_type")
+
+
+@registered(f"""SELECT 'error' AS severity, issue_type, count(*) AS n FROM ({_PREFERENCE_AUDIT}) GROUP BY 2 UNION ALL SELECT 'warning', 'duplicate_dpo_key', count(*) FROM (
+  SELECT 1 FROM ({_PREFERENCES}) GROUP BY {sql_normal(chr(34) + 'user' + chr(34))} || '||' || kind || '||' || {sql_normal('rt')} HAVING count(*) > 1) HAVING count(*) > 0""")
+def preference_dataset_audit(spark, d):
+    rows, found = _preference_issues(spark, d)
+    again = quality.duplicate_issues(rows, "dpo_train", items.preference_key(F.col("prompt"), F.col("rejected_type"), F.col("rejected_text")), "duplicate_dpo_key", "warning", False)
+    return found.unionByName(again).groupBy("severity", "issue_type").agg(F.count("*").alias("n"))
+
+
 @registered(f"""SELECT id, CASE WHEN length(v) < 4 THEN 'too_short' WHEN length(v) > 120 THEN 'too_long' WHEN {sql_normal('v', 'short')} = {sql_normal('o', 'short')} THEN 'same_as_original'
   WHEN {sql_holds('v', packs.VARIANT_STRONG)} OR (NOT {sql_holds('v', packs.QUESTION_MARKERS)} AND {sql_holds('v', packs.VARIANT_WEAK)}) THEN 'looks_like_answer'
   {" ".join(f"WHEN {sql_hits('v', p)} AND NOT {sql_hits('o', p)} THEN '{name}'" for name, p in packs.NEW_INFORMATION)} WHEN {sql_hits('v', packs.NEW_POLICY)} AND NOT {sql_hits('o', packs.NEW_POLICY)} THEN 'new_risky_policy_or_commitment' ELSE 'ok' END AS reason
@@ -596,16 +629,28 @@ def llm_output_parse(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.array_join(providers.answer_list(written_), "|").alias("items"))
 
 
-@registered(f"SELECT id, list_transform(range(1, least(200, length(\"user\") % 300 + length(answer) % 300) + 1), lambda i: CASE WHEN i <= length(\"user\") % 300 THEN -100 ELSE 7 END)::VARCHAR AS labels FROM ({PAIRS})")
+_IDS = "list_transform(string_split({}, ' '), lambda w: length(w)::INT)"
+
+
+@registered(f"""SELECT id, md5(array_to_string(list_concat(p, a)[1:200], ',')) AS ids_md5, md5(array_to_string(list_concat(list_transform(p, lambda x: -100), a)[1:200], ',')) AS labels_md5
+FROM (SELECT id, {_IDS.format(chr(34) + "user" + chr(34))} AS p, {_IDS.format("answer")} AS a FROM ({PAIRS}))""")
 def masked_training_labels(spark, d):
-    ids = lambda c, v: F.array_repeat(F.lit(v), F.length(c) % 300)
-    made = items.masked_labels(ids("user", 5), ids("answer", 7), 200)
-    return turn_pairs(spark, d).select("id", F.concat(F.lit("["), F.array_join(made["labels"], ", "), F.lit("]")).alias("labels"))
+    """Ids are the lengths of the texts' words; the last message is the answer."""
+    turns = items.training_turns(F.col("messages"))
+    ids = lambda c: F.transform(F.split(c, " "), F.length)
+    made = items.masked_labels(ids(F.col("user")), ids(turns["answer"]), 200)
+    return turn_pairs(spark, d).select("id", _md5(F.array_join(made["input_ids"], ",")).alias("ids_md5"), _md5(F.array_join(made["labels"], ",")).alias("labels_md5"))
 
 
-@registered()
+def _sql_shares(plan: str, weights: dict[str, int]) -> str:
+    total, rows = sum(weights.values()), ", ".join(f"('{k}', {v}, {i})" for i, (k, v) in enumerate(weights.items()))
+    return f"""SELECT '{plan}' AS plan, k AS category, (v * t // {total} + (row_number() OVER (ORDER BY v * t % {total} DESC, i) <= t - sum(v * t // {total}) OVER ())::INT)::BIGINT AS n
+      FROM (VALUES {rows}) w(k, v, i), (SELECT 3 * count(*) AS t FROM benchmark)"""
+
+
+@registered(f"SELECT * FROM ({_sql_shares('preference', packs.PREFERENCE_CATEGORY_TARGETS)} UNION ALL {_sql_shares('evaluation', packs.EVAL_CATEGORY_TARGETS)}) WHERE n > 0")
 def generation_plan(spark, d):
-    """The plans of preference pairs and evaluation items, counted."""
-    rows = [{"plan": "preference", "category": r["category"], "kind": r["rejected_type"]} for r in planning.preference_plan(300)]
-    rows += [{"plan": "evaluation", "category": r["category"], "kind": r["eval_type"]} for r in planning.evaluation_plan(200)]
-    return planning.as_table(spark, rows).groupBy("plan", "category", "kind").agg(F.count("*").alias("n"))
+    """Plans of preference pairs and evaluation items, three for each item of the benchmark, counted by category."""
+    total = 3 * table(spark, d, "benchmark").count()
+    rows = [{"plan": "preference", "category": r["category"]} for r in planning.preference_plan(total)] + [{"plan": "evaluation", "category": r["category"]} for r in planning.evaluation_plan(total)]
+    return planning.as_table(spark, rows).groupBy("plan", "category").agg(F.count("*").alias("n"))

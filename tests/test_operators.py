@@ -10,6 +10,7 @@ from corpusmill import packs
 from corpusmill.functions.rules import all_failures, first_failure
 from corpusmill.functions.text import hits, normal, role_text, strip
 from corpusmill.operators import dedup, expand, items, kb, metrics, planning, quality, retrieval, risk, split, validate
+from corpusmill.sources import report
 
 MESSAGES = "array<struct<role:string,content:string>>"
 
@@ -272,6 +273,97 @@ def test_variants(spark):
     assert [r["ord"] for r in expand.accepted(df, taken, quota=1).collect()] == [0]
 
 
+def test_variants_are_taken_one_after_the_other(spark):
+    """Against the loop: a variant that is not taken blocks no other, in its own seed or in another."""
+    rng = random.Random(7)
+    words = ["怎么查物流", "物流怎么查", "哪里看快递", "快递到哪里", "发票怎么开", "怎么开发票"]
+    tail = ["呢", "呀", "啊", "吗", "嘛嘛", ""]
+    for quota in (2, 4):
+        rows = [(f"s{i // 12}", "原来的话", rng.choice(words) + rng.choice(tail) + rng.choice(tail), i) for i in range(96)]
+        taken, texts, mine = [], {"怎么查物流呢"}, {}
+        for seed, _, text, i in rows:
+            own = mine.setdefault(seed, [])
+            if len(own) < quota and text not in texts and all(SequenceMatcher(None, text, x).ratio() < 0.88 for x in own):
+                own.append(text)
+                texts.add(text)
+                taken.append(i)
+        df = spark.createDataFrame(rows, "seed_id string, original string, variant string, ord long")
+        got = expand.accepted(df, spark.createDataFrame([("怎么查物流呢",)], "text string"), quota, 0.88)
+        assert got.columns == df.columns and sorted(r["ord"] for r in got.collect()) == taken
+    # the first seed's second variant goes for its likeness, so the second seed's equal one is taken
+    rows = [("a", "x", "哪里能看物流", 0), ("a", "x", "哪里能看物流啊", 1), ("b", "x", "哪里能看物流啊", 2)]
+    df = spark.createDataFrame(rows, "seed_id string, original string, variant string, ord long")
+    assert sorted(r["ord"] for r in expand.accepted(df, df.limit(0).select(F.col("variant").alias("text"))).collect()) == [0, 2]
+
+
+def test_rows_without_a_stratum_are_split(spark):
+    df = spark.createDataFrame([(i, None if i < 20 else "a") for i in range(50)], "k long, c string")
+    out = split.stratified(df, ["c"], "k", 0.1).collect()
+    assert len(out) == 50 and sum(r["split"] == "valid" and r["c"] is None for r in out) == 2 and sum(r["split"] == "valid" for r in out) == 5
+    places = split.ranked(df, ["c"], [F.desc("k")]).collect()
+    assert {r["k"]: (r["_rank"], r["_size"]) for r in places} == {**{i: (20 - i, 20) for i in range(20)}, **{i: (50 - i, 30) for i in range(20, 50)}}
+    assert split.ranked(df.limit(0), ["c"], [F.col("k")]).count() == 0 and [r["batch"] for r in split.batched(df, "k", 20).orderBy("k").collect()] == [0] * 20 + [1] * 20 + [2] * 10
+
+
+def test_keys_are_stored_on_acceptance(spark):
+    rows = [("a", "bad", 0), ("a", "ok", 1), ("a", "ok", 2), ("a", "bad", 3), ("b", "ok", 4), (None, "ok", 5), ("c", "bad", 6)]
+    df = spark.createDataFrame(rows, "k string, reason string, at long")
+    got = lambda taken: [r["status"] for r in dedup.accepted_once(df, F.col("k"), F.col("reason"), F.col("at"), taken).orderBy("at").collect()]
+    assert got(None) == ["bad", "ok", "duplicate", "duplicate", "ok", "ok", "bad"]
+    assert got(spark.createDataFrame([("b",), ("c",)], "key string")) == ["bad", "ok", "duplicate", "duplicate", "duplicate", "ok", "duplicate"]
+
+
+def test_training_rows(spark):
+    df = spark.createDataFrame([("p", "c", "r", None), ("p", "c", "r", "why")], "prompt string, chosen string, rejected string, preference_reason string")
+    assert [tuple(r) for r in items.training_pairs(df).collect()] == [("p", "c", "r", "", ""), ("p", "c", "r", "", "why")]
+    with pytest.raises(Exception, match="no prompt"):
+        items.training_pairs(df.withColumn("chosen", F.lit(None).cast("string"))).collect()
+    talk = spark.createDataFrame([([("user", "q"), ("assistant", "a")],), ([("assistant", "a"), ("user", "q")],), ([("assistant", "a")],)], "m array<struct<role:string,content:string>>")
+    turns = lambda good: talk.where(good).select(items.training_turns(F.col("m")).alias("t"))
+    first = F.col("m")[0]["role"]
+    got = turns(first == "user").first()["t"]
+    assert got["answer"] == "a" and [m["content"] for m in got["prompt"]] == ["q"]
+    for good, what in (((first == "assistant") & (F.size("m") == 2), "last message"), (F.size("m") == 1, "too short")):
+        with pytest.raises(Exception, match=what):
+            turns(good).collect()
+
+
+def test_prompts_and_refills(spark):
+    assert planning.filled_in("{a} of {b} {c}", {"a": 1, "b": "x"}) == "1 of x {c}"
+    df = spark.createDataFrame([(1, None)], "a long, b string")
+    assert planning.prompts(df, "{a}-{b}-{c}").first()["prompt"] == "1--{c}"
+    asked = []
+    assert planning.refilled(10, lambda n: asked.append(n) or n // 3) == 8 and asked == [15, 7, 4]
+    with pytest.raises(ValueError, match="no valid"):
+        kb.not_empty(df.limit(0))
+
+
+def test_overlaid_documents(spark):
+    df = spark.createDataFrame([("t", "c", "keep")], "title string, content string, extra string").withColumn("ord", F.lit(1))
+    import json
+
+    got = json.loads(kb.overlaid(kb.canonical(df, "ord")).first()["json"])
+    assert got["extra"] == "keep" and got["title"] == "t" and got["doc_id"] == "doc_000000"
+
+
+def test_contained_items(spark):
+    docs = spark.createDataFrame([(1, "abcde"), (2, "xabx"), (3, None), (4, "")], "doc long, text string")
+    stated = spark.createDataFrame([(10, "ab"), (11, "b"), (12, "ab"), (13, ""), (14, "zz"), (15, None)], "item long, text string")
+    want = [(1, 10), (1, 11), (1, 12), (2, 10), (2, 11), (2, 12)]
+    assert sorted(tuple(r) for r in dedup.contained(docs, stated).collect()) == want and dedup.contained(docs, stated.limit(0)).count() == 0
+    block, dedup.ITEM_BLOCK = dedup.ITEM_BLOCK, 2
+    try:
+        assert sorted(tuple(r) for r in dedup.contained(docs, stated).collect()) == want
+    finally:
+        dedup.ITEM_BLOCK = block
+
+
+def test_reports_in_markdown(spark):
+    rows = spark.createDataFrame([("a", "low", "train"), ("a", "high", "valid"), ("b", None, "train")], "category string, severity string, split string").withColumns({"rejected_type": F.lit("t"), "source": F.lit("s")})
+    text = report.told(report.preference_report(rows, 5), "Pairs", ["summary"], most=3)
+    assert text.startswith("# Pairs\n\n## summary") and "| a | 2 | 1 | 1 |" in text and "| unknown | 1 | 1 | 0 |" in text and "| actual_valid_ratio | 0.3333 |" in text
+
+
 def test_resume_and_rewrite(spark):
     rows = [("sft_llm_000007", "a", [("user", "Q 1")]), ("other", "a", [("user", "q2")]), ("sft_llm_x", None, [("user", None)])]
     done = spark.createDataFrame(rows, f"id string, seed_id string, messages {MESSAGES}")

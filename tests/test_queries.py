@@ -2,11 +2,18 @@
 
 import math
 import os
+import re
+from collections import defaultdict
+from difflib import SequenceMatcher
 
 import duckdb
+import pyarrow.parquet as pq
 import pytest
 
-from corpusmill.plans import queries as engine
+from corpusmill.plans import queries, reports
+from corpusmill.plans import registry as engine
+
+assert queries.QUERIES and reports
 
 TABLES = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(TABLES), reason="the tables are not here")
@@ -36,16 +43,54 @@ def same(spark, duck, query, sql):
     left = sorted((tuple(plain(r[c]) for c in names) for r in got.collect()), key=repr)
     right = sorted((tuple(plain(r[columns.index(c)]) for c in names) for r in theirs.fetchall()), key=repr)
     assert left == right
+    return left
+
+
+#: Queries without a row on these tables.
+EMPTY: set[str] = set()
 
 
 @pytest.mark.parametrize("name", sorted(engine.SQL))
 def test_query_agrees_with_sql(spark, duck, name):
-    same(spark, duck, engine.QUERIES[name], engine.SQL[name])
+    assert same(spark, duck, engine.QUERIES[name], engine.SQL[name]) or name in EMPTY
+
+
+def documents():
+    return pq.read_table(f"{TABLES}/documents.parquet").to_pylist()
+
+
+def normal(text):
+    bare = re.sub(r"[\s\x1c-\x1f]+", "", text or "").lower()
+    return bare.translate(str.maketrans("？！。，、：；", "?!.,,:;"))
+
+
+def ratio(a, b):
+    """With the bounds that difflib itself offers first."""
+    m = SequenceMatcher(None, a, b)
+    return m.real_quick_ratio() >= 0.94 and m.quick_ratio() >= 0.94 and m.ratio() >= 0.94
+
+
+def test_near_dup_greedy_is_the_loop(spark):
+    kept, status = defaultdict(list), {}
+    for r in sorted(documents(), key=lambda r: r["doc_id"]):
+        text, seen = normal(r["text"]), status.setdefault(("seen", r["lang"]), {})
+        if text in seen:
+            status[r["doc_id"]] = "exact_duplicate" if seen[text] == "kept" else "near_duplicate"
+            continue
+        seen[text] = status[r["doc_id"]] = "near_duplicate" if any(ratio(text, k) for k in kept[r["lang"]]) else "kept"
+        if seen[text] == "kept":
+            kept[r["lang"]].append(text)
+    got = {r["doc_id"]: r["status"] for r in engine.QUERIES["near_dup_greedy"](spark, TABLES).collect()}
+    assert got == {k: v for k, v in status.items() if not isinstance(k, tuple)} and len(set(got.values())) == 3
 
 
-@pytest.mark.parametrize("name", sorted(set(engine.QUERIES) - set(engine.SQL)))
-def test_query_without_sql_runs(spark, name):
-    assert engine.QUERIES[name](spark, TABLES).count() >= 0
+def test_overlap_near_is_brute_force(spark):
+    rows = [(r["doc_id"], r["lang"], normal(r["text"])) for r in documents()]
+    others = sorted((r for r in rows if r[0] % 20), key=lambda r: r[0])
+    equal = {t for _, _, t in others}
+    want = {i: next((d for _, d, o in others if ratio(t, o)), None) for i, _, t in rows if i % 20 == 0 and t not in equal}
+    got = {r["item"]: r["dataset"] for r in engine.QUERIES["overlap_near"](spark, TABLES).collect()}
+    assert got == {i: d for i, d in want.items() if d}
 
 
 def test_entry(spark):

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.llm import vec
+from corpusmill.llm.names import free_names
 from corpusmill.llm.store import written
 
 MAX_LABELLED, FOLDS, MIN_DOCS, MIN_LIFT, SURPRISE = 12_000, 5, 4, 3.0, 5.0
@@ -285,6 +286,15 @@ def judged(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "d
     return scored.withColumn("toxic", F.col("p_toxic") >= THRESHOLD)
 
 
+def accepted(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``docs``, all columns as they are, without the documents judged toxic."""
+    made = ["p_junk", "p_toxic", "toxic"]
+    clash = [c for c in docs.columns if c.lower() in made]
+    aside = dict(zip(clash, free_names([*docs.columns, *made], len(clash)), strict=True))
+    kept = judged(docs.withColumnsRenamed(aside), labels, text, key).where("not toxic").drop(*made)
+    return kept.withColumnsRenamed({v: k for k, v in aside.items()}).select(*[f"`{c}`" for c in docs.columns])
+
+
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
     """Each document's probabilities and verdict."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

@@ -205,9 +205,11 @@ def overlap_contains(spark, d):
 
 @registered()
 def overlap_near(spark, d):
-    """Documents whose id is divisible by 20, against all others."""
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("item"), F.col("lang").alias("dataset"), F.col("doc_id").alias("rank"), normal(F.col("text")).alias("text"))
-    return dedup.near_overlap(rows.where("item % 20 = 0").select("item", "text"), rows.where("item % 20 <> 0").select("dataset", "rank", "text"))
+    """Documents without labels, against those with."""
+    docs, known = table(spark, d, "documents"), table(spark, d, "labels").select("doc_id")
+    rows = docs.select("doc_id", "lang", normal(F.col("text")).alias("text"))
+    train, rest = rows.join(known, "doc_id", "left_semi"), rows.join(known, "doc_id", "left_anti")
+    return dedup.near_overlap(rest.select(F.col("doc_id").alias("item"), "text"), train.select(F.col("lang").alias("dataset"), F.col("doc_id").alias("rank"), "text"))
 
 
 # ---------------------------------------------------------------- audits

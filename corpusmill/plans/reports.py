@@ -173,12 +173,12 @@ def stratified_null_split(spark, d):
 _MIX = """SELECT doc_id AS source_id, md5({seed} || ':' || doc_id) AS h FROM documents WHERE {where}"""
 
 
-@registered(f"""SELECT source_id FROM (SELECT *, row_number() OVER (ORDER BY h, source_id) AS k FROM ({_MIX.format(seed="'42'", where="lang = 'de'")})) WHERE k <= (SELECT floor(count(*) * 0.2 * 0.7::DOUBLE) FROM documents)
-UNION ALL SELECT source_id FROM (SELECT *, row_number() OVER (ORDER BY h, source_id) AS k FROM ({_MIX.format(seed="'42'", where="lang = 'en'")})) WHERE k <= (SELECT floor(count(*) * 0.2) - floor(floor(count(*) * 0.2) * 0.7::DOUBLE) FROM documents)""")
+@registered(f"""SELECT source_id FROM (SELECT *, row_number() OVER (ORDER BY h, source_id) AS k FROM ({_MIX.format(seed="'42'", where="lang = 'en'")})) WHERE k <= (SELECT floor(count(*) * 0.2 * 0.7::DOUBLE) FROM documents)
+UNION ALL SELECT source_id FROM (SELECT *, row_number() OVER (ORDER BY h, source_id) AS k FROM ({_MIX.format(seed="'42'", where="lang = 'de'")})) WHERE k <= (SELECT floor(count(*) * 0.2) - floor(floor(count(*) * 0.2) * 0.7::DOUBLE) FROM documents)""")
 def source_mix(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("source_id"), "lang")
     of = lambda lang: docs.where(F.col("lang") == lang).select("source_id")
-    return items.source_mix(of("de"), of("en"), docs.count() // 5)
+    return items.source_mix(of("en"), of("de"), docs.count() // 5)
 
 
 @registered("""WITH k AS (SELECT doc_id, lang FROM documents), w AS (SELECT unnest(['en', 'fr', 'none']) AS f),

@@ -1,7 +1,7 @@
 """JSON lines in and out: strict, counting, issue-emitting and lenient readers, and sinks.
 
-Readers take a schema.  ``with_lines`` keeps where a row came from: exact line numbers need whole files in one
-task each, which suits report-sized files; ``exact=False`` numbers lines in input order without that.
+Readers take a schema and keep where a row came from: lines are numbered split by split, and a split counts on from
+those before it in its file, so a file of any size is read in as many tasks as it has splits.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ import json
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,8 +22,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
-def read_strict(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Every line must be an object of the schema; a bad one fails the read."""
+def read_strict(spark: SparkSession, path: str, schema: T.StructType | str, required: bool = True) -> DataFrame:
+    """Every line must be an object of the schema; a bad one fails the read, and so does a missing file, unless it
+    isn't required."""
+    if not required and not exists(spark, path):
+        return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
@@ -34,14 +37,16 @@ def read_lenient(spark: SparkSession, path: str, schema: T.StructType | str, req
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
-def lines(spark: SparkSession, path: str, exact: bool = True) -> DataFrame:
-    """(_file, _line, value) of the full lines, numbered from 1."""
-    if exact:
-        whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), "value")
-        each = whole.select("_file", F.posexplode(F.split("value", "\n")).alias("_at", "value")).select("_file", (F.col("_at") + 1).cast("long").alias("_line"), "value")
-    else:
-        each = spark.read.text(path).select(F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_line"), "value")
-    return each.where(~blank(F.col("value")))
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """(_file, _line, value) of the full lines, numbered from 1; blank lines count."""
+    read = spark.read.option("lineSep", "\n").text(path)
+    # the rows of a split follow one another, so their ids run on from the split's first
+    each = read.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_from"), "value", F.monotonically_increasing_id().alias("_at"))
+    splits = each.groupBy("_file", "_from").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy("_file").orderBy("_from").rowsBetween(Window.unboundedPreceding, -1))  # a row for each split
+    starts = splits.select("_file", "_from", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    numbered = each.join(starts, ["_file", "_from"]).select("_file", (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias("_line"), "value")
+    return numbered.where(~blank(F.col("value")))
 
 
 def parsed(df: DataFrame, schema: T.StructType | str, value: Column | None = None) -> DataFrame:
@@ -54,12 +59,12 @@ def parsed(df: DataFrame, schema: T.StructType | str, value: Column | None = Non
     return out.select(*df.columns, *[F.col("_row")[f.name].alias(f.name) for f in shape], "_error")
 
 
-def read_counted(spark: SparkSession, path: str, schema: T.StructType | str, required: bool = True, exact: bool = True) -> tuple[DataFrame, DataFrame]:
+def read_counted(spark: SparkSession, path: str, schema: T.StructType | str, required: bool = True) -> tuple[DataFrame, DataFrame]:
     """(good rows with _file and _line, (error, n)); a missing required file is one error."""
     if not exists(spark, path):
         rows = spark.createDataFrame([], T.StructType([T.StructField("_file", T.StringType()), T.StructField("_line", T.LongType()), *(schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema))]))
         return rows, spark.createDataFrame([("missing_file", 1)] if required else [], "error string, n long")
-    every = parsed(lines(spark, path, exact), schema)
+    every = parsed(lines(spark, path), schema)
     errors = every.where("_error is not null").groupBy(F.col("_error").alias("error")).agg(F.count("*").alias("n"))
     return every.where("_error is null").drop("_error", "value"), errors
 

@@ -97,3 +97,22 @@ def test_stream_is_idempotent(spark, tmp_path):
         clean_stream(spark.readStream.schema(schema).json(str(source)), out, rejects, str(tmp_path / f"cp{turn}")).awaitTermination()
     assert [r["id"] for r in spark.read.json(out).collect()] == ["1"]
     assert [(r["id"], r["reason"]) for r in spark.read.json(rejects).collect()] == [("2", "invalid_category")]
+
+
+def test_lines_of_many_splits_are_numbered(spark, tmp_path):
+    path = str(tmp_path / "many.jsonl")
+    with open(path, "w") as out:
+        out.writelines(("\n" if i % 7 == 0 else f'{{"a": {i}}}\n') for i in range(1, 40_001))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50k")
+    try:
+        every = jsonl.lines(spark, path)
+        assert every.rdd.getNumPartitions() >= 4
+        wrong = every.where(F.concat(F.lit('{"a": '), "_line", F.lit("}")) != F.col("value"))
+        assert every.count() == 40_000 - 40_000 // 7 and wrong.count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_a_missing_file_may_be_empty(spark, tmp_path):
+    assert jsonl.read_strict(spark, str(tmp_path / "none.jsonl"), "a long", required=False).count() == 0

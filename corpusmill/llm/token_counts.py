@@ -7,8 +7,9 @@ of a pre-token: the encoding of ``w[:i]`` ends in a token ``t = w[j:i]`` that st
 of the encoding of ``w[:j]``; exactly one ``t`` does, so ``count[i] = count[j] + 1``.  The word-end mark of
 the vocabulary only changes which last token is allowed.  Budget and truncation questions are look-ups.
 
-Defined results: a null or empty text has 0 bytes and 0 tokens.  Repeated rows are counted one by one.
-Memory follows the distinct pieces of about 1 MB of text and the longest single piece.
+Defined results: a null or empty text has 0 bytes and 0 tokens.  Repeated rows are counted one by one.  A text with
+exactly as many tokens as the limit is not over it.  Texts of any length are counted whole, an empty table gives an
+empty table.  Columns of the names of ``COUNTS`` are replaced, all others pass through.  Memory follows the distinct pieces of about 1 MB of text and the longest single piece.
 """
 
 from __future__ import annotations

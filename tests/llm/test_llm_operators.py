@@ -254,6 +254,14 @@ def test_codec_columns(spark):
     assert byte_bpe.digest(df.limit(0)).count() == 0
 
 
+def test_codec_of_the_tables_documents(spark):
+    tree = byte_bpe.codec(byte_bpe.default_path())
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = {r["doc_id"]: (len(ids := tree.leaf.encode_ordinary(r["text"] or "")), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in docs.collect()}
+    got = byte_bpe.op3_byte_level_bpe(spark, "/root/testdata/sf0.01").collect()
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got} == want
+
+
 # ---- 4
 def page(body, host="h"):
     return f'<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="</p>";</script></head><body><nav><ul><li><a href="/x">menu</a></li></ul></nav><!-- c --><div class="ad">buy</div>{body}<footer>&copy; {host}</footer></body></html>'
@@ -426,6 +434,16 @@ def test_token_counts(spark):
     assert token_counts.count_tokens(rows_of(spark, [])).count() == 0
 
 
+def test_token_counts_of_the_tables_documents(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(token_counts.default_path())
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    counts = [len(e.ids) for e in library.encode_batch([r["text"] or "" for r in docs], add_special_tokens=False)]
+    want = {r["doc_id"]: (len((r["text"] or "").encode()), n, n > 2048) for r, n in zip(docs, counts, strict=True)}
+    assert {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in token_counts.op6_token_counts(spark, "/root/testdata/sf0.01").collect()} == want
+
+
 def test_prefix_counts():
     tokens = token_counts._tokens(token_counts.default_path())
     count = lambda t: tokens.count([t])[0]
@@ -716,6 +734,45 @@ def test_decontamination(spark):
     assert decontaminate.clean(df, bench.limit(0)).count() == len(texts) and decontaminate.find(df.limit(0), bench).count() == 0
 
 
+def plain_leaks(docs, items):
+    """document -> items of which some window as long as the item, cut at the document's ends, is 0.8 alike."""
+    split = lambda t: WORD.findall("".join(c if c.isalnum() or ord(c) > 127 else " " for c in re.sub("[A-Z]", lambda m: m[0].lower(), t or "")))
+    sets = lambda w: [tuple(w[j : j + 5]) for j in range(len(w) - 4)]
+    known = {i: Counter(sets(split(t))) for i, t in items}
+    df = Counter(s for c in known.values() for s in c)
+    weight = lambda s: np.log(1 + len(known) / df.get(s, 1))
+    holders = defaultdict(list)
+    for i, c in known.items():
+        for s in c:
+            holders[s].append(i)
+    found = {}
+    for d, t in docs:
+        own, hits = sets(split(t)), defaultdict(set)
+        for p, s in enumerate(own):
+            for i in holders.get(s, ()):
+                n = known[i].total()
+                hits[i].update(range(p - n + 1, p + 1))
+        found[d] = set()
+        for i, starts in hits.items():
+            n = known[i].total()
+            for w in starts:
+                mine = Counter(own[max(0, w) : w + n])
+                both = sum(weight(s) * k for s, k in (mine & known[i]).items())
+                if both >= (0.8 - 1e-9) * sum(weight(s) * k for s, k in (mine | known[i]).items()):
+                    found[d].add(i)
+                    break
+    return found
+
+
+def test_decontamination_of_the_tables_documents(spark):
+    import pyarrow.parquet as pq
+
+    docs, items = (pq.read_table(f"/root/testdata/sf0.01/{n}.parquet").to_pylist() for n in ("documents", "benchmark"))
+    want = plain_leaks([(r["doc_id"], r["text"]) for r in docs], [(r["item_id"], r["text"]) for r in items])
+    got = {r["doc_id"]: set(r["items"]) for r in decontaminate.op9_decontamination(spark, "/root/testdata/sf0.01").collect()}
+    assert got == want and any(want.values())
+
+
 def test_items_of_one_id_or_none_are_all_searched(spark):
     said = [" ".join(f"{c}{i}" for i in range(20)) for c in "abcde"]
     bench = spark.createDataFrame([(1, said[0]), (1, said[1]), (1, said[1]), (None, said[2]), (None, said[3])], "item_id long, text string")

@@ -159,21 +159,16 @@ def exact_dedup_first(spark, d):
     return dedup.first_of(docs, [F.col("lang"), F.col("h")], [F.col("doc_id")]).drop("h")
 
 
-def _first_line(spark, d):
-    docs = table(spark, d, "documents")
-    return docs.select("doc_id", normal(F.col("text")).alias("text"), normal(F.substring_index("text", "\n", 1)).alias("block"))
-
-
 @registered(f"""
-WITH t AS (SELECT min(doc_id) AS node, x AS text, b AS block FROM (SELECT doc_id, {_NORM} AS x, {sql_normal("split_part(text, chr(10), 1)")} AS b FROM documents) GROUP BY x, b),
-p AS (SELECT l.node AS late, r.node AS early, l.text AS lt, r.text AS rt FROM t l JOIN t r ON l.block = r.block AND r.node < l.node
-      WHERE CASE WHEN length(l.text) + length(r.text) = 0 THEN 1.0 ELSE 2.0 * least(length(l.text), length(r.text)) / (length(l.text) + length(r.text)) END >= 0.94 - 1e-12),
-c AS (SELECT late, early, c, count(*) AS n FROM (SELECT late, early, unnest(string_split(lt, '')) AS c FROM p) GROUP BY ALL),
-e AS (SELECT late, early, c, count(*) AS n FROM (SELECT late, early, unnest(string_split(rt, '')) AS c FROM p) GROUP BY ALL),
-s AS (SELECT late, early, sum(least(c.n, e.n)) AS shared FROM c JOIN e USING (late, early, c) GROUP BY ALL)
-SELECT late, early, round(2.0 * coalesce(shared, 0) / (length(lt) + length(rt)), 9) AS bound FROM p LEFT JOIN s USING (late, early) WHERE 2.0 * coalesce(shared, 0) / (length(lt) + length(rt)) >= 0.94 - 1e-12""")
+WITH t AS (SELECT min(doc_id) AS node, x AS text, lang AS block, length(x) AS n FROM (SELECT doc_id, lang, {_NORM} AS x FROM documents) GROUP BY x, lang),
+h AS (SELECT node, c, count(*) AS k FROM (SELECT node, unnest(string_split(text, '')) AS c FROM t) WHERE c <> '' GROUP BY ALL),
+p AS (SELECT l.node AS late, r.node AS early, l.n + r.n AS chars FROM t l JOIN t r ON l.block = r.block AND r.node < l.node
+      WHERE CASE WHEN l.n + r.n = 0 THEN 1.0 ELSE 2.0 * least(l.n, r.n) / (l.n + r.n) END >= 0.94 - 1e-12),
+s AS (SELECT late, early, sum(least(a.k, b.k)) AS shared FROM p JOIN h a ON a.node = late JOIN h b ON b.node = early AND b.c = a.c GROUP BY ALL)
+SELECT late, early, round(2.0 * coalesce(shared, 0) / chars, 9) AS bound FROM p LEFT JOIN s USING (late, early) WHERE 2.0 * coalesce(shared, 0) / chars >= 0.94 - 1e-12""")
 def near_dup_prefilter_pairs(spark, d):
-    nodes = _first_line(spark, d).groupBy("block", "text").agg(F.min("doc_id").alias("node"))
+    rows = table(spark, d, "documents").select("doc_id", F.col("lang").alias("block"), normal(F.col("text")).alias("text"))
+    nodes = rows.groupBy("block", "text").agg(F.min("doc_id").alias("node"))
     pairs = dedup.alike_pairs(nodes, nodes, 0.94, ["block"], F.col("r_node") < F.col("l_node"))
     return pairs.select(F.col("l_node").alias("late"), F.col("r_node").alias("early"), F.round("bound", 9).alias("bound"))
 

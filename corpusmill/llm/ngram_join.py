@@ -31,8 +31,9 @@ changes a result.  An empty table gives an empty table.  Of other columns only t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import reduce, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,48 @@ from corpusmill.llm.names import free_names
 from corpusmill.llm.store import dropped, written
 
 RANKED, PIVOT_ROUNDS, MOST_RANGES, MAP_WORDS, FEW = 1 << 17, 4, 1 << 16, 1 << 18, 3
+#: Bytes of a batch sent to Python, and shingles that a worker gathers before it counts them.
+BATCH, GATHERED = 1 << 20, 1 << 21
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+_Batches = Iterator[pa.RecordBatch]
+
+
+def _hand_back() -> None:
+    """Give freed memory back to the system: workers live on between tasks and stages, and so would what they once took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library than glibc
+        pass
+
+
+def _lean(run: Callable[[_Batches], _Batches]) -> Callable[[_Batches], _Batches]:
+    """``run`` in a worker that keeps nothing: neither from tasks before nor from this one."""
+
+    @wraps(run)
+    def leanly(batches: _Batches) -> _Batches:
+        _hand_back()
+        try:
+            yield from run(batches)
+        finally:
+            _hand_back()
+
+    return leanly
+
+
+def _made(df: DataFrame, name: str) -> DataFrame:
+    """``written`` for what Python makes of texts: batches are cut by bytes, not at 10,000 rows of any length."""
+    conf = df.sparkSession.conf
+    before = conf.get(_BYTES, None)
+    conf.set(_BYTES, str(BATCH))
+    try:
+        return written(df, name)
+    finally:
+        if before is None:
+            conf.unset(_BYTES)
+        else:
+            conf.set(_BYTES, before)
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -54,22 +97,37 @@ def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
             yield a + i, np.unique(vec.shingles(words[at[i] : at[i + 1]], k))
 
 
+def _counted(parts: list[np.ndarray]) -> pa.RecordBatch:
+    """Shingles that two sets or more of ``parts`` hold, with their number; ``parts`` is emptied."""
+    held = np.concatenate(parts)
+    parts.clear()
+    held.sort()  # in place: these shingles are the most that a worker holds
+    keys, again = np.unique(held[1:][held[1:] == held[:-1]], return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(again + 1, pa.int64())], names=["shingle", "n"])
+
+
 def _repeats(k: int):
-    """Shingles that two documents or more of this task hold, with their number."""
+    """Shingles that two documents or more of this task hold, with their number, ``GATHERED`` after ``GATHERED``."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @_lean
+    def run(batches: _Batches) -> _Batches:
+        parts, n = [], 0
         for batch in batches:
-            held = np.concatenate([np.zeros(0, np.uint64), *(s for _, s in _sets(batch.column("text"), k))])
-            held.sort()  # in place: a batch's shingles are the most that a worker holds
-            keys, again = np.unique(held[1:][held[1:] == held[:-1]], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(again + 1, pa.int64())], names=["shingle", "n"])
+            for _, held in _sets(batch.column("text"), k):
+                parts.append(held)
+                n += len(held)
+                if n >= GATHERED:
+                    yield _counted(parts)
+                    n = 0
+        if n:
+            yield _counted(parts)
 
     return run
 
 
 def frequent(docs: DataFrame, k: int, most: int = RANKED) -> tuple[np.ndarray, np.ndarray]:
     """(sorted shingles, their counts): at most ``most``, cut between classes of counts."""
-    counts = written(docs.mapInArrow(_repeats(k), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")), "ngram-counts")
+    counts = _made(docs.mapInArrow(_repeats(k), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")), "ngram-counts")
     classes = counts.groupBy(F.floor(F.log2("n")).alias("c")).agg(F.count("*").alias("size")).orderBy(F.desc("c")).collect()
     total, least = 0, None
     for c in classes:  # a few dozen rows
@@ -105,7 +163,8 @@ def parities(held: np.ndarray) -> np.ndarray:
 def _signed(k: int, num: int, den: int, keys: np.ndarray, counts: np.ndarray):
     """id, hash, n, the set's key, its prefix in rare-first order, and the parities of its ranges."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @_lean
+    def run(batches: _Batches) -> _Batches:
         for batch in batches:
             n, one, two, prefix, odd = [], [], [], [], []
             for _, held in _sets(batch.column("text"), k):
@@ -130,7 +189,8 @@ def _signed(k: int, num: int, den: int, keys: np.ndarray, counts: np.ndarray):
 def _whole(k: int):
     """The whole sets of the texts of classes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @_lean
+    def run(batches: _Batches) -> _Batches:
         for batch in batches:
             cls, known, out = batch.column("cls").to_pylist(), batch.column("k1").to_pylist(), ([], [])
             for i, held in _sets(batch.column("text"), k):
@@ -195,7 +255,7 @@ class _Sets:
             # null-safe: a class of rows without an id is found by its text
             texts = _marked(self.docs, need).join(need, F.col("id").eqNullSafe(F.col("its_id")) & (F.col("hash") == F.col("its_hash"))).select("cls", "k1", "text")
             held = texts.mapInArrow(_whole(self.k), "cls long, held array<long>").groupBy("cls").agg(F.first("held").alias("held"))
-            self.made.append(written(held, "ngram-sets"))
+            self.made.append(_made(held, "ngram-sets"))
         dropped(need)
         return self.all()
 
@@ -215,7 +275,7 @@ def _verified(pairs: DataFrame, sets: _Sets, num: int, den: int) -> DataFrame:
 
 def classes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(rows: id, hash, n, k1, k2; classes with the smallest id (null if all are), its text's hash, prefix and parities), both written."""
-    every = written(docs.mapInArrow(_signed(k, num, den, *frequent(docs, k)), "id long, hash long, n long, k1 long, k2 long, prefix array<long>, odd array<long>"), "ngram-rows")
+    every = _made(docs.mapInArrow(_signed(k, num, den, *frequent(docs, k)), "id long, hash long, n long, k1 long, k2 long, prefix array<long>, odd array<long>"), "ngram-rows")
     rows = written(every.select("id", "hash", "n", "k1", "k2"), "ngram-rows")
     one = every.where("n > 0").groupBy("k1", "k2", "n").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("least"), F.first("prefix").alias("prefix"), F.first("odd").alias("odd"))
     one = written(one.select("k1", "k2", "n", "least.id", "least.hash", "prefix", "odd").withColumn("cls", F.monotonically_increasing_id()), "ngram-classes")

@@ -4,7 +4,10 @@ import hashlib
 import html as html_library
 import random
 import re
+import subprocess
+import sys
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -148,6 +151,49 @@ def test_jaccard_join_of_nothing(spark):
     assert ngram_join.linked(rows_of(spark, [])).count() == 0 and ngram_join.one_of_each(rows_of(spark, [])).count() == 0
 
 
+def test_jaccard_join_takes_texts_in_small_batches(spark, monkeypatch):
+    def watched(make):
+        def made(*args):
+            run = make(*args)
+
+            def seen(batches):
+                for batch in batches:
+                    assert batch.nbytes < 2 << 20, f"a batch of {batch.nbytes} bytes"
+                    yield from run(iter([batch]))
+
+            return seen
+
+        return made
+
+    for name in ("_repeats", "_signed", "_whole"):
+        monkeypatch.setattr(ngram_join, name, watched(getattr(ngram_join, name)))
+    texts = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(600)), lambda i: F.concat(F.lit("w"), (F.col("id") / 2).cast("int"), F.lit("x"), i)))
+    docs = spark.range(0, 2000, 1, 1).select(F.col("id").alias("doc_id"), texts.alias("text"))  # 10 MB in one task
+    got = ngram_join.linked(docs, k=3, num=90, den=100)
+    assert got.where("component_id <> id - id % 2 or n_shingles <> 599").count() == 0 and got.count() == 2000
+
+
+def test_jaccard_join_workers_keep_no_memory():
+    code = """if True:
+        import re
+        import numpy as np, pyarrow as pa
+        from corpusmill.llm import ngram_join
+
+        def held():
+            return sum(map(int, re.findall(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+        text = pa.array([" ".join(f"w{(i * 7919 + j * j) % 9973}" for j in range(300)) for i in range(10_000)])
+        ids, keys = pa.array(range(10_000)), np.arange(1 << 17, dtype=np.uint64)
+        before = held()
+        for run in (ngram_join._repeats(5), ngram_join._signed(5, 80, 100, keys, np.ones(1 << 17, np.int64))):
+            for out in run(iter([pa.RecordBatch.from_arrays([ids, ids, text], names=["id", "hash", "text"])])):
+                del out
+        print(held() - before)
+    """
+    kept = float(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2]).stdout)
+    assert kept < 10, f"{kept:.0f} MB kept"
+
+
 def test_one_of_each(spark):
     text = " ".join(f"w{i}" for i in range(40))
     df = rows_of(spark, [text, text + " more", "other words that are not like it", "", None, text]).unionByName(rows_of(spark, [text])).withColumnsRenamed({"n": "own_0", "kept": "_key", "row_id": "_text"})

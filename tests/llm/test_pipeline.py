@@ -9,7 +9,7 @@ import pytest
 import tiktoken  # noqa: F401  the library that the tokens are held against
 
 import corpus_pipeline
-from corpusmill.llm import byte_bpe, pii
+from corpusmill.llm import byte_bpe, ngram_join, pii
 
 from .test_llm_operators import jaccard_components
 
@@ -83,6 +83,24 @@ def test_stages_equal_the_plain_versions(spark, tables):
     assert re.search("PHONE", str(want["pii"])) and len(want["ngram_jaccard"]) < len(want["toxicity"]) - 3
 
 
+def test_ngram_jaccard_stage_cuts_batches_by_bytes(spark, monkeypatch):
+    made = ngram_join._repeats
+
+    def watched(k):
+        run = made(k)
+
+        def seen(batches):
+            for batch in batches:
+                assert batch.nbytes < 2 << 20, f"a batch of {batch.nbytes} bytes"
+                yield from run(iter([batch]))
+
+        return seen
+
+    monkeypatch.setattr(ngram_join, "_repeats", watched)
+    docs = spark.range(0, 600, 1, 1).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(0, 999), i -> concat('w', id, 'x', i))) as text")  # 5 MB in one task
+    assert corpus_pipeline.ngram_jaccard_stage(spark, docs, "").count() == 600
+
+
 def test_empty_tables(spark, tables, tmp_path):
     d, _ = tables
     for name in ("documents", "labels", "benchmark"):

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import blank, filled, first_full, strip
-from corpusmill.operators.split import sampled
+from corpusmill.operators.split import places, sampled
 
 CHUNK = ("chunk_id", "doc_type", "category", "title", "content", "source")
 
@@ -41,15 +41,11 @@ def canonical(df: DataFrame, order: str) -> DataFrame:
     beside.  Rows without title and content go; places count them."""
     have = lambda *names: first_full(*[F.col(n).cast("string") for n in names if n in df.columns], F.lit(None).cast("string"))
     raw = F.to_json(F.struct(*[c for c in df.columns if c != order]))
-    ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumns({"_at": F.monotonically_increasing_id(), "_raw": raw}).persist()
-    part = F.shiftright("_at", 33)
-    sizes = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    placed = ranged.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn("_row", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1))
+    placed = places(df, [F.col(order)], "_row")
     doc_id = F.coalesce(have("doc_id", "id"), F.format_string("doc_%06d", "_row"))
     out = placed.select(
         doc_id.alias("doc_id"), F.coalesce(have("chunk_id"), doc_id).alias("chunk_id"), F.coalesce(have("doc_type", "type"), F.lit("")).alias("doc_type"), F.coalesce(have("category"), F.lit("")).alias("category"),
-        F.coalesce(have("title"), F.lit("")).alias("title"), F.coalesce(have("content", "text"), F.lit("")).alias("content"), F.coalesce(have("source"), F.lit("")).alias("source"), F.col("_raw").alias("raw"),
+        F.coalesce(have("title"), F.lit("")).alias("title"), F.coalesce(have("content", "text"), F.lit("")).alias("content"), F.coalesce(have("source"), F.lit("")).alias("source"), raw.alias("raw"),
     )
     return out.where(~(blank(F.col("title")) & blank(F.col("content"))))
 

@@ -105,16 +105,21 @@ def batched(df: DataFrame, order: str, size: int) -> DataFrame:
     return placed.withColumn("batch", F.floor((F.col("_rank") - 1) / size).cast("long")).drop("_rank", "_size")
 
 
-def numbered(df: DataFrame, order: Sequence[Column], prefix: str, start: int = 1) -> DataFrame:
-    """``df`` with id ``prefix_000001`` and on, in order, whatever its size.
+def places(df: DataFrame, order: Sequence[Column], place: str = "_place") -> DataFrame:
+    """``df`` with each row's place (from 0) in ``order``, whatever its size.
 
     Rows are ranged over partitions by the order; each partition counts on from those before it, so no single
-    task sees all rows."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    kept = ranged.persist()
+    task sees all rows.  Rows and counts are read from one table: ranged a second time (as when a cache is
+    dropped), partitions can end elsewhere."""
+    ranged = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "places")
     part = F.shiftright("_at", 33)
-    sizes = kept.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    sizes = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row per partition
     starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
-    place = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + start
-    return kept.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn("id", F.format_string(f"{prefix}_%06d", place)).drop("_at", "_part", "_before")
+    placed = ranged.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return placed.select(*[f"`{c}`" for c in df.columns], (F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).alias(place))
+
+
+def numbered(df: DataFrame, order: Sequence[Column], prefix: str, start: int = 1) -> DataFrame:
+    """``df`` with id ``prefix_000001`` and on, in order."""
+    return places(df, order).withColumn("id", F.format_string(f"{prefix}_%06d", F.col("_place") + start)).drop("_place")

@@ -184,6 +184,18 @@ def test_rendering(spark):
     assert kb.product_chunks(product).first()["content"] == "商品名称：t\n商品类目：c\n商品属性：\n- z：1\n- a：2\n退换货规则：r"
 
 
+def test_places_hold_when_caches_go(spark):
+    df = spark.range(40_000).select((F.col("id") * 7919 % 40_000).alias("o"), F.concat(F.lit("text "), "id").alias("text"), F.lit(None).cast("string").alias("id"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        docs, ids = kb.canonical(df, "o"), split.numbered(df.select("o"), [F.col("o")], "x", 0)
+        spark.catalog.clearCache()
+        assert sorted(r["doc_id"] for r in docs.select("doc_id").collect()) == [f"doc_{i:06d}" for i in range(40_000)]
+        assert all(r["id"] == f"x_{r['o']:06d}" for r in ids.collect()) and ids.count() == 40_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_canonical_places_count_dropped_rows(spark):
     rows = [(0, None, "t0", ""), (1, None, " ", ""), (2, "x", "", "c"), (3, "", "t3", "c")]
     got = kb.canonical(spark.createDataFrame(rows, "o long, id string, title string, text string"), "o")

@@ -178,7 +178,7 @@ UNION ALL SELECT source_id FROM (SELECT *, row_number() OVER (ORDER BY h, source
 def source_mix(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("source_id"), "lang")
     of = lambda lang: docs.where(F.col("lang") == lang).select("source_id")
-    return items.source_mix(of("en"), of("de"), docs.count() // 5)
+    return items.source_mix(of("en"), of("de"), docs.count() / 5)
 
 
 @registered("""WITH k AS (SELECT doc_id, lang FROM documents), w AS (SELECT unnest(['en', 'fr', 'none']) AS f),

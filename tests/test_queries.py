@@ -7,6 +7,7 @@ from collections import defaultdict
 from difflib import SequenceMatcher
 
 import duckdb
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -107,3 +108,13 @@ def test_near_copies_with_other_first_lines_meet(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["status"] for r in engine.QUERIES["near_dup_greedy"](spark, str(tmp_path)).collect()}
     assert got == {1: "kept", 2: "near_duplicate", 3: "kept", 4: "near_duplicate", 5: "exact_duplicate", 6: "kept"}
+
+
+@pytest.mark.parametrize("n", [38, 39, 40, 44])
+def test_source_mix_of_any_number_of_documents(spark, tmp_path, n):
+    rows = [{"doc_id": i, "lang": ("en", "de")[i % 3 == 0]} for i in range(n)]
+    pq.write_table(pa.Table.from_pylist(rows), tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet'")
+    want = sorted(con.execute(engine.SQL["source_mix"]).fetchall())
+    assert sorted((r["source_id"],) for r in reports.source_mix(spark, str(tmp_path)).collect()) == want

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from corpusmill import packs
 from corpusmill.functions.rules import all_failures, first_failure
 from corpusmill.functions.text import hits, normal, role_text, strip
-from corpusmill.operators import dedup, expand, items, kb, metrics, planning, quality, retrieval, risk, split, validate
+from corpusmill.operators import dedup, expand, items, kb, metrics, planning, quality, retrieval, risk, similarity, split, validate
 from corpusmill.sources import report
 
 MESSAGES = "array<struct<role:string,content:string>>"
@@ -421,3 +421,33 @@ def test_prompts_and_options(spark):
     assert retrieval.resolved(0, None, "a", {"top_k": 7}) == {"k": 7, "least": 0.0, "category": "off"}
     example = value(spark, ([("user", "u" * 300)],), f"m {MESSAGES}", validate.drop_example(F.lit("r"), F.col("m")))
     assert len(example["user"]) == 200 and example["assistant"] == ""
+
+
+def test_tile_pairs_in_rounds(spark, monkeypatch):
+    """Many tiles and rounds find what plain loops find, and no round carries more than its share."""
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(60)]
+    texts = ["".join(rng.choice(words) for _ in range(rng.choice((3, 8, 30, 31)))) for _ in range(60)]
+    texts += [t[:-1] + "z" for t in texts[::3]] + ["", "é"]
+    rows = [(i, t) for i, t in enumerate(dict.fromkeys(texts))]
+    nodes = spark.createDataFrame([("b", i, t) for i, t in rows], "block string, node long, text string")
+    for name, size in (("TILE", 8), ("ROUND_CHARS", 1)):
+        monkeypatch.setattr(dedup, name, size)
+    carried = []
+    plain = dedup.written
+    monkeypatch.setattr(dedup, "written", lambda df, name: carried.append(name) or plain(df, name))
+    near = {(r["late"], r["early"]) for r in dedup.near_pairs(nodes, 0.9).collect()}
+    assert near == {(i, j) for i, a in rows for j, b in rows if j < i and SequenceMatcher(None, a, b).ratio() >= 0.9} and near
+    assert carried.count("near-found") > 1
+    bounds = {(r["late"], r["early"]): r["bound"] for r in dedup.bounded_pairs(nodes, 0.9).collect()}
+    want = {(i, j): 2 * sum(min(a.count(c), b.count(c)) for c in set(a)) / len(a + b) for i, a in rows for j, b in rows if j < i}
+    assert bounds == pytest.approx({k: v for k, v in want.items() if v >= 0.9 - 1e-12})
+
+
+def test_is_alike_is_the_ratio(spark):
+    rng = random.Random(3)
+    for _ in range(200):
+        a = "".join(rng.choice("abcdefgh  tk") for _ in range(rng.choice((0, 1, 30, 250))))
+        b = "".join(rng.choice((c, c, c, c, c, "", "q")) if rng.random() < 0.2 else c for c in a)
+        for least in (0.6, 0.94, 1.0):
+            assert similarity.is_alike(SequenceMatcher(None, "", b), a, least) == (SequenceMatcher(None, a, b).ratio() >= least)

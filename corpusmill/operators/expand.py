@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill import packs
 from corpusmill.functions.rules import OK, Rule, coded, first_failure
 from corpusmill.functions.text import hits, holds_any, last_of_role, normal, strip
-from corpusmill.operators.dedup import alike_pairs
-from corpusmill.operators.similarity import reaches
+from corpusmill.operators.dedup import near_pairs
 from corpusmill.store import dropped, written
 
 
@@ -49,9 +48,11 @@ def accepted(variants: DataFrame, taken: DataFrame, quota: int = 15, least: floa
     text = normal(strip(F.col("variant")), "short")
     sound = variants.where(first_failure(variant_rules(F.col("variant"), F.col("original"))) == OK).withColumn("_text", text)
     sound = sound.join(taken.select(normal(F.col("text"), "short").alias("_text")).distinct(), "_text", "left_anti").withColumn("_seed", F.coalesce(F.col("seed_id").cast("string"), F.lit("")))
-    nodes = written(sound.select(F.col("ord").alias("node"), F.col("_seed").alias("seed"), F.col("_text").alias("text")), "variants")
-    pairs = alike_pairs(nodes, nodes, least, ["seed"], F.col("r_node") < F.col("l_node"))
-    near = written(pairs.where((F.col("l_text") != F.col("r_text")) & reaches(F.col("l_text"), F.col("r_text"), least)).select(F.col("l_node").alias("late"), F.col("r_node").alias("early")), "variants-near")
+    # once the first of a seed's equal variants is settled, so are the others: they go
+    nodes = written(sound.groupBy(F.col("_seed").alias("seed"), F.col("_text").alias("text")).agg(F.min("ord").alias("node")).select("node", "seed", "text"), "variants")
+    # texts that are not equal have a ratio below 1
+    pairs = near_pairs(nodes.select(F.col("seed").alias("block"), "node", "text"), least) if least < 1 else nodes.select(F.col("node").alias("late"), F.col("node").alias("early")).limit(0)
+    near = written(pairs, "variants-near")
     state = nodes.withColumn("taken", F.lit(None).cast("boolean"))
     while not state.where("taken is null").isEmpty():
         earlier = near.join(state.select(F.col("node").alias("early"), F.col("taken").alias("t")), "early").groupBy("late").agg(F.max("t").alias("near_taken"), F.max(F.col("t").isNull()).alias("near_open"))

@@ -308,6 +308,17 @@ def test_variants_are_taken_one_after_the_other(spark):
     assert sorted(r["ord"] for r in expand.accepted(df, df.limit(0).select(F.col("variant").alias("text"))).collect()) == [0, 2]
 
 
+def test_equal_variants_of_a_seed_are_compared_once(spark, monkeypatch):
+    rows = [("a", "x", f"哪里能看物流{'啊' * (i % 2)}", i) for i in range(200)] + [("b", "x", "发票怎么开", 200)]
+    df = spark.createDataFrame(rows, "seed_id string, original string, variant string, ord long")
+    sizes = []
+    plain = expand.written
+    monkeypatch.setattr(expand, "written", lambda table, name: (sizes.append((name, table.count())), plain(table, name))[1])
+    got = expand.accepted(df, df.limit(0).select(F.col("variant").alias("text")), quota=5, least=0.88)
+    assert sorted(r["ord"] for r in got.collect()) == [0, 200]
+    assert ("variants", 3) in sizes and ("variants-near", 1) in sizes
+
+
 def test_rows_without_a_stratum_are_split(spark):
     df = spark.createDataFrame([(i, None if i < 20 else "a") for i in range(50)], "k long, c string")
     out = split.stratified(df, ["c"], "k", 0.1).collect()
